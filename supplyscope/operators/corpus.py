@@ -203,7 +203,7 @@ def extract_declarations(
     Found by pattern, line comments skipped. Every match comes with the text since the one
     before, so a position is a running sum of byte lengths along the file.
     """
-    walk = F.lit(rf"(?ms)(.*?)({_DECLARATION})")
+    walk = F.lit(rf"(?ms)\G(.*?)({_DECLARATION})")
     gaps, hits = (F.regexp_extract_all(text, walk, F.lit(i)) for i in (1, 2))
     rows = files.select(key, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("pos", "m")).select(
         key,

@@ -46,8 +46,8 @@ define(
 )
 define(
     "diagnostic",
-    """select l_orderkey * 8 + l_linenumber as diag_id, cast(l_partkey % (select count(*) from documents) as bigint) as file_id,
-    cast(l_extendedprice as int) % 3000 as start, 'error' as severity, l_returnflag as code, 'm' as message from lineitem""",
+    """select event_id as diag_id, event_id % (select count(*) from documents) as file_id, cast(value * 60 as int) as start,
+    event_type as severity, concat('c', cast(user_id % 9 as varchar(9))) as code, 'm' as message from events""",
 )
 define(
     "code_ref",
@@ -62,14 +62,14 @@ define(
     """select path, name, max(return_mask) as return_mask from (select concat(case when p_size % 2 = 0 then 'lib/' else 'local/' end, p_brand, '/', p_type, '.pm') as path,
     concat('f', cast(p_size % 9 as varchar(9))) as name, cast(p_partkey % 5 as bigint) as return_mask from part) x group by path, name""",
 )
+CALLED = "case l_partkey % 8 when 0 then 'push' when 1 then 'keys' when 2 then 'length' when 3 then 'substr' when 4 then 'chr' when 5 then 'join' when 6 then 'bless' else 'mine' end"
 define(
     "call_fact",
-    """select l_orderkey * 8 + l_linenumber as call_id, case l_partkey % 8 when 0 then 'push' when 1 then 'keys' when 2 then 'length' when 3 then 'substr' when 4 then 'chr'
-    when 5 then 'join' when 6 then 'bless' else 'mine' end as name, 1 + l_linenumber % 3 as n_args, cast(null as int) as arg_no, cast(0 as bigint) as mask from lineitem where false
-    union all select l_orderkey * 8 + l_linenumber, case l_partkey % 8 when 0 then 'push' when 1 then 'keys' when 2 then 'length' when 3 then 'substr' when 4 then 'chr'
-    when 5 then 'join' when 6 then 'bless' else 'mine' end, 1 + l_linenumber % 3, a.no, case (l_suppkey + a.no) % 9 when 0 then cast(0 as bigint) when 1 then 4 when 2 then 12 when 3 then 28
+    f"""select l_orderkey * 8 + l_linenumber as call_id, {CALLED} as name, l_linenumber % 4 as n_args, cast(null as int) as arg_no, cast(0 as bigint) as mask
+    from lineitem where l_linenumber % 4 = 0
+    union all select l_orderkey * 8 + l_linenumber, {CALLED}, l_linenumber % 4, a.no, case (l_suppkey + a.no) % 9 when 0 then cast(0 as bigint) when 1 then 4 when 2 then 12 when 3 then 28
     when 4 then 1 when 5 then 8192 when 6 then 16384 when 7 then 5 else 4608 end from lineitem
-    join (select 0 as no union all select 1 union all select 2) a on a.no < 1 + l_linenumber % 3""",
+    join (select 0 as no union all select 1 union all select 2) a on a.no < l_linenumber % 4""",
 )
 define(
     "operand_fact",
@@ -194,7 +194,15 @@ def d4(spark, sf):
     return corpus.parse_lockfiles(relation(spark, sf, "lock_source"))
 
 
-@book.query("d5_extract_declarations")
+@book.query(
+    "d5_extract_declarations",
+    sql="""with h as (select doc_id, lang, concat('package ', upper(source), '::', upper(lang)) as pkg, concat('$x', doc_id % 9) as x from documents),
+    p as (select *, strlen(pkg) + 16 as a, strlen(x) + strlen(pkg) + 16 as b from h),
+    u as (select doc_id, unnest([{'k': 'package', 'n': pkg[9:], 'm': 0, 's': 0}, {'k': 'variable', 'n': x, 'm': MASK_SCALAR, 's': a}, {'k': 'variable', 'n': '@list', 'm': 8192, 's': b + 9},
+      {'k': 'variable', 'n': '$a', 'm': 1, 's': b + 20}, {'k': 'variable', 'n': '%h', 'm': 16384, 's': b + 20}, {'k': 'sub', 'n': concat('run_', lang), 'm': 32768, 's': b + 33},
+      {'k': 'variable', 'n': '$y', 'm': 1, 's': b + 33 + strlen(lang) + 11}]) as d from p)
+    select doc_id as file_id, d.k as kind, d.n as name, d.m as type_mask, d.s as start from u""".replace("MASK_SCALAR", str(m.SCALAR)),
+)
 def d5(spark, sf):
     return corpus.extract_declarations(relation(spark, sf, "code_source"))
 
@@ -216,11 +224,11 @@ def d6(spark, sf):
 @book.query(
     "d7_locate_offsets",
     ("diagnostic",),
-    """with t as (select diag_id, d.file_id, severity, message, code, start,
-        decode(list_reduce(list_prepend(''::blob, [encode(text)[1:least(start, octet_length(encode(text)))::int]]), lambda a, b: a || b)) as head
-        from diagnostic d join documents on doc_id = file_id) select 1 where false"""
-    if False
-    else None,
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as row, generate_subscripts(string_split(text, chr(10)), 1) as no from documents),
+    s as (select doc_id, no, strlen(row) as w, sum(strlen(row) + 1) over (partition by doc_id order by no) - strlen(row) - 1 as pos0 from l)
+    select diag_id, file_id, no::bigint as line, (least(start, pos0 + w) - pos0 + 1)::bigint as col,
+      concat(file_id, ':', no, ':', (least(start, pos0 + w) - pos0 + 1)::bigint, ': ', severity, ': m [', code, ']') as report
+    from diagnostic d asof join s on d.file_id = s.doc_id and d.start >= s.pos0""",
 )
 def d7(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
@@ -408,8 +416,8 @@ def d16_failures(spark, sf):
 @book.query(
     "d16_tap_results",
     ("tap_log",),
-    f"""with {TAP}, n as (select run, coalesce(sum(regexp_extract(line, '^1\\.\\.(\\d+)', 1)::bigint) filter (where kind = 'plan'), 0) as planned,
-      arg_max(regexp_extract(line, 'Tests=(\\d+)', 1)::bigint, line_no) filter (where kind = 'summary') as stated, count(*) filter (where kind = 'ok') as passed,
+    f"""with {TAP}, n as (select run, coalesce(sum(try_cast(regexp_extract(line, '^1\\.\\.(\\d+)', 1) as bigint)) filter (where kind = 'plan'), 0) as planned,
+      arg_max(try_cast(regexp_extract(line, 'Tests=(\\d+)', 1) as bigint), line_no) filter (where kind = 'summary') as stated, count(*) filter (where kind = 'ok') as passed,
       bool_or(kind = 'result') as judged from c group by run),
     g as (select run, count(*) as failed, count(*) filter (where test_name = 'Build/Compilation') as broken, bool_or(missing) as mi, bool_or(comp) as co, bool_or(perm) as pe from f group by run),
     t as (select n.run, coalesce(stated, planned) + coalesce(broken, 0) as total, passed, coalesce(failed, 0) as failed, judged, mi, co, pe from n left join g on n.run = g.run)
