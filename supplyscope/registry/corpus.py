@@ -46,7 +46,7 @@ define(
 )
 define(
     "diagnostic",
-    """select event_id as diag_id, event_id % (select count(*) from documents) as file_id, cast(value * 60 as int) as start,
+    """select event_id as diag_id, event_id % (select count(*) from documents) as file_id, cast(floor(value * 60) as int) as start,
     event_type as severity, concat('c', cast(user_id % 9 as varchar(9))) as code, 'm' as message from events""",
 )
 define(
