@@ -82,9 +82,8 @@ define(
 )
 define(
     "installed_package",
-    """select s_suppkey as project, p_brand as package, release_version as version from supplier join
-    (select p_partkey, p_brand, concat(cast(p_size % 4 as varchar(9)), '.', cast(p_partkey % 40 as varchar(9)), '.0') as release_version from part) p
-    on s_suppkey = p_partkey""",
+    """select l_suppkey as project, p_brand as package, concat(cast(p_size % 4 as varchar(9)), '.', cast(p_partkey % 40 as varchar(9)), '.0') as version
+    from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity > 40""",
 )
 define(
     "dep_edge_dag",

@@ -55,7 +55,7 @@ define(
 )
 define(
     "code_file",
-    """select distinct concat(case when p_size % 2 = 0 then 'lib/' else 'local/' end, p_brand, '/', p_type, '.pm') as path from part where p_partkey % 3 <> 0 or p_size > 25""",
+    """select distinct concat(case when p_size % 2 = 0 then 'lib/' else 'local/' end, p_brand, '/', p_type, '.pm') as path from part where p_size > 10""",
 )
 define(
     "code_symbol",
@@ -88,7 +88,7 @@ define(
 define(
     "param_fact",
     """select l_suppkey as file_id, concat('s', cast(l_partkey % 5 as varchar(9))) as sub, concat('$p', cast(l_linenumber % 4 as varchar(9))) as param,
-    case when l_quantity > 10 then cast(28 as bigint) when l_quantity > 5 then 524287 else 12 end as mask from lineitem where l_linenumber < 4
+    case when l_quantity > 10 then cast(28 as bigint) when l_quantity > 5 then 524287 else 12 end as mask from lineitem
     union all select s_suppkey, 'free', '$q', 524287 from supplier""",
 )
 define(

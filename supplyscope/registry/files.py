@@ -1,2 +1,113 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries over files that Spark first writes from the given tables, then reads back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from supplyscope.adapters import relation, table
+from supplyscope.operators.corpus import parse_lockfiles
+from supplyscope.plans.shared import shared_folder
+from supplyscope.registry.base import Book
+from supplyscope.sources import metric_files, text_trees
+
+book = Book()
+QUERIES, ORACLE = book.queries, book.oracle
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _one_file_each(df: DataFrame, key: str, path: str) -> None:
+    """Write the `text` of each row to a file of its own below `path`/key=…"""
+    df.select(key, "text").repartition(key).write.partitionBy(key).text(path)
+
+
+@book.query(
+    "h1_read_metric_files",
+    ("op_event",),
+    """select n as total_time, method, avg(n) over () > 0 as download_success, source % 2 = 0 as success, concat('5.', source % 9) as version, '' as platform, '' as error_type
+    from (select source, method, count(*) / 1000 as n from op_event group by source, method) where source % 10 <> 3""",
+)
+def h1(spark, sf):
+    per_source = relation(spark, sf, "op_event").groupBy("source", "method").agg(F.count("*").alias("n"))
+    good = F.to_json(
+        F.struct(
+            (F.lit(1700000000) + F.col("source")).alias("timestamp"), "method", F.concat(F.lit("5."), F.col("source") % 9).alias("version"),
+            (F.col("source") % 2 == 0).alias("success"), F.col("n").alias("total_time"), F.lit(True).alias("download_success"),
+        )
+    )
+    path = _folder(spark)
+    texts = per_source.select("source", F.when(F.col("source") % 10 == 3, F.lit('{"broken":')).otherwise(good).alias("text"))
+    _one_file_each(texts, "source", path)
+    read = metric_files.read_metric_files(spark, path, "part-*")
+    return read.select("total_time", "method", "download_success", "success", "version", "platform", "error_type")
+
+
+@book.query("h2_read_source_tree", sql="select text, concat(lang, '/', source) as place from documents")
+def h2(spark, sf):
+    path = _folder(spark)
+    table(spark, sf, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").option("lineSep", "\u0001").text(path)
+    tree = text_trees.read_source_tree(spark, path, ["txt"])
+    parts = tree.select(F.explode(F.filter(F.split("text", "\u0001"), lambda t: t != "")).alias("text"), "path")
+    place = F.concat_ws("/", F.regexp_extract("path", "lang=([^/]*)/", 1), F.regexp_extract("path", "source=([^/]*)/", 1))
+    return parts.select("text", place.alias("place"))
+
+
+@book.query(
+    "h3_read_cache_index",
+    ("op_event",),
+    """select case when source % 8 in (1, 2) then null else concat('k', source) end as entry_key, source % 8 not in (1, 2, 3) as is_valid,
+    case source % 8 when 1 then 'invalid JSON structure' when 2 then 'missing cache key' when 3 then 'missing timestamp' end as problem,
+    case when source % 8 in (1, 3) then null else '2024-01-02 03:04:05' end as created_at from (select distinct source from op_event)""",
+)
+def h3(spark, sf):
+    sources = relation(spark, sf, "op_event").select("source").distinct()
+    kind = F.col("source") % 8
+    key = F.when(kind != 2, F.concat(F.lit("k"), "source"))
+    meta = F.struct(key.alias("key"), F.when(kind != 3, "2024-01-02T03:04:05Z").alias("timestamp"), F.lit("2024-02-02T03:04:05Z").alias("expires"))
+    text = F.when(kind == 1, F.lit("{{")).otherwise(F.to_json(F.struct(meta.alias("metadata"), F.lit(1).alias("data"))))
+    path = _folder(spark)
+    _one_file_each(sources.withColumn("text", text), "source", path)
+    read = metric_files.read_cache_index(spark, path, "part-*")
+    return read.select("entry_key", "is_valid", "problem", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@book.query(
+    "h4_append_metrics",
+    ("op_event",),
+    "select strftime(ts, '%Y-%m-%d') as day, count(*) * 2 as n, round(sum(duration) * 2, 2) as total from op_event group by 1",
+)
+def h4(spark, sf):
+    path = _folder(spark)
+    events = relation(spark, sf, "op_event")
+    metric_files.append_metrics(events, path)
+    metric_files.append_metrics(events, path)
+    daily = spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"))
+    return daily.agg(F.count("*").alias("n"), F.round(F.sum("duration"), 2).alias("total"))
+
+
+@book.query(
+    "h4_lock_text_round_trip",
+    sql="""with r as (select *, unnest([
+      {'d': concat(source, '-1.', doc_id % 9), 'p': concat('A/B/', lang, '.tar.gz'), 's': 'provides', 'm': concat(source, '::P'), 'v': concat(doc_id % 5)},
+      {'d': concat(source, '-1.', doc_id % 9), 'p': concat('A/B/', lang, '.tar.gz'), 's': 'provides', 'm': concat(source, '::Q'), 'v': 'undef'},
+      {'d': concat(source, '-1.', doc_id % 9), 'p': concat('A/B/', lang, '.tar.gz'), 's': 'requirements', 'm': concat(lang, '::R'), 'v': '0'},
+      {'d': concat('Empty-', lang), 'p': 'none.tgz', 's': null, 'm': null, 'v': null}]) as x from documents),
+    g as (select distinct lang as project, x.d as dist, x.s as section, x.m as module from r)
+    select project, count(*) as n_rows, count(distinct dist) as n_dists, count(module) as n_modules from g group by project""",
+)
+def h4_lock(spark, sf):
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("lang").alias("project"))
+    parsed = parse_lockfiles(relation(spark, sf, "lock_source")).join(langs, "file_id")
+    columns = ["project", "dist", "section", "module"]
+    merged = parsed.groupBy(*columns).agg(*[F.max(c).alias(c) for c in ("interpreter", "pathname", "version")])
+    path = _folder(spark)
+    text_trees.write_lock_text(text_trees.lock_lines(merged, "2024-01-01 00:00:00"), path)
+    again = parse_lockfiles(text_trees.read_lock_text(spark, path), key="project")
+    return again.groupBy("project").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("dist").alias("n_dists"), F.count("module").alias("n_modules")
+    )

@@ -34,7 +34,7 @@ define(
 )
 define("profile_row", "select c_custkey as profile from customer")
 define("profile_setting", "select c_custkey as profile, c_mktsegment as setting_key, concat('v', cast(c_custkey as varchar(19))) as val from customer")
-define("default_setting", "select r_name as setting_key, 'd' as val from region union all select 'MACHINERY', 'd' from region where r_regionkey = 0")
+define("default_setting", "select r_name as setting_key, 'd' as val from region union all select 'MACHINERY', 'd'")
 
 REACH = "w(root, pkg, depth) as (select distinct src, src, 0 from dep_edge_dag union select w.root, e.dst, w.depth + 1 from w join dep_edge_dag e on e.src = w.pkg {limit})"
 

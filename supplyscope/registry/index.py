@@ -45,7 +45,7 @@ define(
     else concat('fuz', cast(c_custkey as varchar(19))) end as name from customer""",
 )
 define("config_map", "select concat('cfg', cast(n_nationkey as varchar(9))) as name, concat('Cfg::', n_name) as module from nation")
-define("builtin_map", "select concat('blt', cast(n_nationkey as varchar(9))) as name, concat('Blt::', n_name) as module from nation union all select 'cfg1', 'No' from region")
+define("builtin_map", "select concat('blt', cast(n_nationkey as varchar(9))) as name, concat('Blt::', n_name) as module from nation union all select 'cfg1', 'No'")
 define(
     "tool_executable",
     """select concat('exe', cast(n_nationkey as varchar(9))) as name, concat('Exe::', n_name) as module, case when n_nationkey % 2 = 0 then 'latest' else 'old' end as status from nation""",

@@ -101,7 +101,8 @@ def a2_versions(spark, sf):
     ("package_release", "installed_package"),
     f"""with idx as (select package, version, {PARTS.format(v='version')} from package_release where regexp_matches(lower(package), 'brand#1')),
     top as (select * from (select *, row_number() over (partition by package order by maj desc, mnr desc, pat desc) rn from idx) where rn = 1),
-    have as (select project, package, version, {PARTS.format(v='version')} from installed_package)
+    have as (select * from (select project, package, version, {PARTS.format(v='version')} from installed_package)
+      qualify row_number() over (partition by project, package order by maj desc, mnr desc, pat desc) = 1)
     select h.project, h.package, h.version as installed, t.version as latest from have h join top t using (package)
     where (t.maj, t.mnr, t.pat) > (h.maj, h.mnr, h.pat) and h.package <> 'Brand#13'""",
 )
