@@ -94,22 +94,16 @@ def best_match(
     and each distinct constraint is parsed once.
     """
     group = list(group)
-    asked = (
-        requests.select(*group, constraint)
-        .distinct()
-        .withColumn("__b", constraint_bounds(F.col(constraint)))
-        .where(F.col("__b").isNotNull())
-        .select(*group, constraint, F.col("__b.lo").alias("__lo"), F.col("__b.hi").alias("__spot"))
-    )
-    versions = (
-        available.select(*group, F.col(ver).alias("__version"))
-        .distinct()
-        .withColumn("__spot", version_spot(F.col("__version")))
-        .where(F.col("__spot").isNotNull())
-        .groupBy(*group, "__spot")
-        .agg(F.min("__version").alias("__version"))
-    )
-    asked, versions = settle(asked), settle(versions)
+    # few distinct constraint texts, however many requests: each is parsed once. They are
+    # written before the parsed form is filtered, or the filter would be pushed below the
+    # distinct and parse every request.
+    texts = requests.select(constraint).distinct().withColumn("__b", constraint_bounds(F.col(constraint)))
+    parsed = settle(texts).where(F.col("__b").isNotNull())
+    parsed = parsed.select(constraint, F.col("__b.lo").alias("__lo"), F.col("__b.hi").alias("__spot"))
+    asked = settle(requests.select(*group, constraint).distinct().join(parsed, constraint))
+    named = available.select(*group, F.col(ver).alias("__version")).distinct()
+    spots = settle(named.withColumn("__spot", version_spot(F.col("__version"))))
+    versions = spots.where(F.col("__spot").isNotNull()).groupBy(*group, "__spot").agg(F.min("__version").alias("__version"))
     ends = asked.select(*group, "__spot").distinct().withColumn("__version", F.lit(None).cast("string"))
     line = carry_forward(
         versions.unionByName(ends),

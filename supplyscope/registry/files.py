@@ -26,25 +26,34 @@ def _one_file_each(df: DataFrame, key: str, path: str) -> None:
     df.select(key, "text").repartition(key).write.partitionBy(key).text(path)
 
 
+PER_DAY = "select strftime(ts, '%Y-%m-%d') as day, op, count(*) as n from op_event group by all"
+
+
+def _per_day(spark, sf) -> DataFrame:
+    """One row per day and operation, each to be written to a file of its own."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    counts = relation(spark, sf, "op_event").groupBy(day.alias("day"), "op").agg(F.count("*").alias("n"))
+    return counts.withColumn("file", F.concat_ws("-", "day", "op")).withColumn("kind", F.dayofmonth(F.to_date("day")) % 5)
+
+
 @book.query(
     "h1_read_metric_files",
     ("op_event",),
-    """select n as total_time, method, avg(n) over () > 0 as download_success, source % 2 = 0 as success, concat('5.', source % 9) as version, '' as platform, '' as error_type
-    from (select source, method, count(*) / 1000 as n from op_event group by source, method) where source % 10 <> 3""",
+    f"""select strftime(day::date, '%Y-%m-%d 00:00:00') as ts, op as method, n / 1000 as total_time, n % 2 = 0 as success, true as download_success, concat('5.', n % 9) as version,
+    '' as platform, '' as error_type from ({PER_DAY}) where extract(day from day::date) % 5 <> 3""",
 )
 def h1(spark, sf):
-    per_source = relation(spark, sf, "op_event").groupBy("source", "method").agg(F.count("*").alias("n"))
     good = F.to_json(
         F.struct(
-            (F.lit(1700000000) + F.col("source")).alias("timestamp"), "method", F.concat(F.lit("5."), F.col("source") % 9).alias("version"),
-            (F.col("source") % 2 == 0).alias("success"), F.col("n").alias("total_time"), F.lit(True).alias("download_success"),
+            F.unix_timestamp(F.to_timestamp("day")).alias("timestamp"), F.col("op").alias("method"), F.concat(F.lit("5."), F.col("n") % 9).alias("version"),
+            (F.col("n") % 2 == 0).alias("success"), F.col("n").alias("total_time"), F.lit(True).alias("download_success"),
         )
     )
     path = _folder(spark)
-    texts = per_source.select("source", F.when(F.col("source") % 10 == 3, F.lit('{"broken":')).otherwise(good).alias("text"))
-    _one_file_each(texts, "source", path)
+    _one_file_each(_per_day(spark, sf).withColumn("text", F.when(F.col("kind") == 3, F.lit('{"broken":')).otherwise(good)), "file", path)
     read = metric_files.read_metric_files(spark, path, "part-*")
-    return read.select("total_time", "method", "download_success", "success", "version", "platform", "error_type")
+    shown = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    return read.select(shown, "method", "total_time", "success", "download_success", "version", "platform", "error_type")
 
 
 @book.query("h2_read_source_tree", sql="select text, concat(lang, '/', source) as place from documents")
@@ -60,18 +69,19 @@ def h2(spark, sf):
 @book.query(
     "h3_read_cache_index",
     ("op_event",),
-    """select case when source % 8 in (1, 2) then null else concat('k', source) end as entry_key, source % 8 not in (1, 2, 3) as is_valid,
-    case source % 8 when 1 then 'invalid JSON structure' when 2 then 'missing cache key' when 3 then 'missing timestamp' end as problem,
-    case when source % 8 in (1, 3) then null else '2024-01-02 03:04:05' end as created_at from (select distinct source from op_event)""",
+    f"""with d as (select *, extract(day from day::date) % 5 as kind from ({PER_DAY}))
+    select case when kind in (1, 2) then null else concat(op, n) end as entry_key, kind not in (1, 2, 3) as is_valid,
+    case kind when 1 then 'invalid JSON structure' when 2 then 'missing cache key' when 3 then 'missing timestamp' end as problem,
+    case when kind in (1, 3) then null else concat(day, ' 03:04:05') end as created_at from d""",
 )
 def h3(spark, sf):
-    sources = relation(spark, sf, "op_event").select("source").distinct()
-    kind = F.col("source") % 8
-    key = F.when(kind != 2, F.concat(F.lit("k"), "source"))
-    meta = F.struct(key.alias("key"), F.when(kind != 3, "2024-01-02T03:04:05Z").alias("timestamp"), F.lit("2024-02-02T03:04:05Z").alias("expires"))
+    kind = F.col("kind")
+    key = F.when(kind != 2, F.concat("op", "n"))
+    stamp = F.when(kind != 3, F.concat("day", F.lit("T03:04:05Z")))
+    meta = F.struct(key.alias("key"), stamp.alias("timestamp"), F.lit("2024-02-02T03:04:05Z").alias("expires"))
     text = F.when(kind == 1, F.lit("{{")).otherwise(F.to_json(F.struct(meta.alias("metadata"), F.lit(1).alias("data"))))
     path = _folder(spark)
-    _one_file_each(sources.withColumn("text", text), "source", path)
+    _one_file_each(_per_day(spark, sf).withColumn("text", text), "file", path)
     read = metric_files.read_cache_index(spark, path, "part-*")
     return read.select("entry_key", "is_valid", "problem", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
