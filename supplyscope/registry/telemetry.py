@@ -31,13 +31,13 @@ define(
 )
 define(
     "benchmark_old",
-    """select l_orderkey * 10 + l_linenumber as name, avg(l_extendedprice) as ns_per_op, avg(l_quantity) - 10 as bytes_per_op,
-    avg(l_discount) as allocs_per_op from lineitem group by l_orderkey * 10 + l_linenumber""",
+    """select l_orderkey * 10 + l_linenumber as name, max(l_extendedprice) as ns_per_op, max(l_quantity) - 10 as bytes_per_op,
+    max(l_discount) as allocs_per_op from lineitem group by l_orderkey * 10 + l_linenumber""",
 )
 define(
     "benchmark_new",
-    """select l_orderkey * 10 + l_linenumber as name, avg(l_extendedprice * (0.803 + l_tax * 10)) as ns_per_op,
-    avg(l_quantity * (1 + l_discount * 3.03)) - 10 as bytes_per_op, avg(l_tax * 1.003) as allocs_per_op from lineitem group by l_orderkey * 10 + l_linenumber""",
+    """select l_orderkey * 10 + l_linenumber as name, max(l_extendedprice * (0.803 + l_tax * 10)) as ns_per_op,
+    max(l_quantity * (1 + l_discount * 3.03)) - 10 as bytes_per_op, max(l_tax * 1.003) as allocs_per_op from lineitem group by l_orderkey * 10 + l_linenumber""",
 )
 define(
     "memory_sample",
@@ -192,7 +192,7 @@ def e6(spark, sf):
       unnest([o.ns_per_op, o.bytes_per_op, o.allocs_per_op]) as old_value, unnest([n.ns_per_op, n.bytes_per_op, n.allocs_per_op]) as new_value
       from benchmark_old o join benchmark_new n using (name)),
     c as (select *, (new_value - old_value) / old_value as change from p where old_value <> 0 and (metric = 'ns_per_op' or (old_value > 0 and new_value > 0)))
-    select name, metric, round(old_value, 2) as old_value, round(new_value, 2) as new_value, round(change, 4) as change,
+    select name, metric, round(old_value, 6) as old_value, round(new_value, 6) as new_value, round(change, 9) as change,
       case when change > 0.5 then 'critical' when change > 0.25 then 'major' else 'minor' end as severity from c where change > 0.1""",
 )
 def e7(spark, sf):
@@ -200,7 +200,7 @@ def e7(spark, sf):
         return df.select("name", *[F.col(c).cast("double").alias(c) for c in df.columns if c != "name"])
 
     df = ops.detect_regressions(steady(relation(spark, sf, "benchmark_old")), steady(relation(spark, sf, "benchmark_new")))
-    return rounded(rounded(df, "old_value", "new_value", places=2), "change", places=4)
+    return rounded(rounded(df, "old_value", "new_value"), "change", places=9)
 
 
 TREND = """with s as (select *, alloc_bytes - lag(alloc_bytes) over (partition by source order by ts, event_id) as step from memory_sample),
