@@ -369,7 +369,7 @@ def select_mirror(
     orders = {
         "first": [there, F.col("mirror")],
         "fastest": [there, F.col("latency").asc_nulls_last(), F.col("mirror")],
-        "random": [there, F.xxhash64(F.lit(seed), F.col("mirror")), F.col("mirror")],
+        "random": [there, F.md5(F.concat_ws("-", F.lit(seed), F.col("mirror"))), F.col("mirror")],
     }
     if strategy in orders:
         return first_in_group(state, list(group), orders[strategy])

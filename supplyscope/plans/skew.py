@@ -27,10 +27,10 @@ def spread_join(
 ) -> DataFrame:
     on = list(on)
     sizes = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    if sizes.isEmpty():
+        return facts.join(lookup, on, how)
     # one row per key above the limit, so at most (rows / hot_rows) rows in all
     hot = settle(sizes.select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__fan")))
-    if hot.isEmpty():
-        return facts.join(lookup, on, how)
     spread = F.when(
         F.col("__fan").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.col("__fan")).cast("int")
     ).otherwise(F.lit(0))

@@ -63,13 +63,13 @@ define(
     concat('f', cast(p_size % 9 as varchar(9))) as name, cast(p_partkey % 5 as bigint) as return_mask from part) x group by path, name""",
 )
 CALLED = "case l_partkey % 8 when 0 then 'push' when 1 then 'keys' when 2 then 'length' when 3 then 'substr' when 4 then 'chr' when 5 then 'join' when 6 then 'bless' else 'mine' end"
+_ARGUMENT = """select l_orderkey * 8 + l_linenumber as call_id, {called} as name, l_linenumber % 4 as n_args, {no} as arg_no, case (l_suppkey + {no}) % 9 when 0 then cast(0 as bigint)
+    when 1 then 4 when 2 then 12 when 3 then 28 when 4 then 1 when 5 then 8192 when 6 then 16384 when 7 then 5 else 4608 end as mask from lineitem where {no} < l_linenumber % 4"""
 define(
     "call_fact",
     f"""select l_orderkey * 8 + l_linenumber as call_id, {CALLED} as name, l_linenumber % 4 as n_args, cast(null as int) as arg_no, cast(0 as bigint) as mask
-    from lineitem where l_linenumber % 4 = 0
-    union all select l_orderkey * 8 + l_linenumber, {CALLED}, l_linenumber % 4, a.no, case (l_suppkey + a.no) % 9 when 0 then cast(0 as bigint) when 1 then 4 when 2 then 12 when 3 then 28
-    when 4 then 1 when 5 then 8192 when 6 then 16384 when 7 then 5 else 4608 end from lineitem
-    join (select 0 as no union all select 1 union all select 2) a on a.no < l_linenumber % 4""",
+    from lineitem where l_linenumber % 4 = 0 union all """
+    + " union all ".join(_ARGUMENT.format(called=CALLED, no=no) for no in range(3)),
 )
 define(
     "operand_fact",
@@ -120,16 +120,21 @@ define(
     "locked_install",
     """select o_custkey as project, concat('M', cast(o_orderkey % 50 as varchar(9))) as module, max(concat('2.', cast(o_orderkey % 9 as varchar(9)))) as version from orders where o_totalprice > 100000 group by 1, 2""",
 )
+_LOG_LINES = (
+    """case when event_type = 'signup' then concat('# Testing t/', cast(event_id % 9 as varchar(9)), '.t') when event_type = 'view' and event_id % 50 = 0 then '1..7'
+      else concat('note ', event_type) end""",
+    """case when event_type = 'error' then concat('not ok ', cast(event_id as varchar(19)), case when event_id % 3 = 0 then '' else ' - odd' end)
+      else concat('ok ', cast(event_id as varchar(19))) end""",
+    """case when event_id % 4 = 0 then '#   expected 1' when event_id % 4 = 1 and event_id % 11 = 0 then 'Can''t locate X.pm in @INC'
+      when event_id % 97 = 2 then 'syntax error at line 3' else 'plain' end""",
+    """case when event_id % 4 = 0 then concat('# got ', cast(event_id % 5 as varchar(9)), case when user_id % 10 = 0 then ' Permission denied' else '' end)
+      when event_id % 1009 = 1 then 'Files=3, Tests=40' when event_id % 1013 = 5 then 'Result: FAIL' else '' end""",
+)
 define(
     "tap_log",
-    """select user_id as run, event_id * 4 + k.no as line_no, case k.no
-      when 0 then case when event_type = 'signup' then concat('# Testing t/', cast(event_id % 9 as varchar(9)), '.t') when event_type = 'view' and event_id % 50 = 0 then '1..7'
-        else concat('note ', event_type) end
-      when 1 then case when event_type = 'error' then concat('not ok ', cast(event_id as varchar(19)), case when event_id % 3 = 0 then '' else ' - odd' end) else concat('ok ', cast(event_id as varchar(19))) end
-      when 2 then case when event_id % 4 = 0 then '#   expected 1' when event_id % 4 = 1 and event_id % 11 = 0 then 'Can''t locate X.pm in @INC' when event_id % 97 = 2 then 'syntax error at line 3' else 'plain' end
-      else case when event_id % 4 = 0 then concat('# got ', cast(event_id % 5 as varchar(9)), case when user_id % 10 = 0 then ' Permission denied' else '' end)
-        when event_id % 1009 = 1 then 'Files=3, Tests=40' when event_id % 1013 = 5 then 'Result: FAIL' else '' end end as line
-    from events cross join (select 0 as no union all select 1 union all select 2 union all select 3) k""",
+    " union all ".join(
+        f"select user_id as run, event_id * 4 + {no} as line_no, {line} as line from events" for no, line in enumerate(_LOG_LINES)
+    ),
 )
 
 

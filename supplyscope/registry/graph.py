@@ -111,6 +111,22 @@ def c3_cycles(spark, sf):
     return ops.topological_levels(relation(spark, sf, "part_node"), _edges(spark, sf, "cyclic_edge"))
 
 
+def leftover_check() -> str:
+    from supplyscope.adapters import with_relations
+
+    # left over is what is on a cycle or reaches one; the rest has its longest way down
+    walk = """e as (select distinct src, dst from cyclic_edge where dst in (select node from part_node)),
+    w(a, b) as (select src, dst from e union select w.a, e.dst from w join e on e.src = w.b),
+    cyc as (select distinct a from w where a = b), lost as (select a from cyc union select w.a from w join cyc on w.b = cyc.a),
+    l(node, level) as (select node, 0 from part_node where node not in (select src from e) union
+      select e.src, l.level + 1 from l join e on e.dst = l.node where e.src not in (select a from lost))
+    select n.node, max(level)::int as level, max(level) is null as leftover from part_node n left join l on l.node = n.node group by n.node"""
+    return recursive(with_relations("cyclic_edge", "part_node").strip(), walk)
+
+
+book.oracle["c3_levels_with_cycles"] = leftover_check()
+
+
 def cycle_check() -> str:
     from supplyscope.adapters import with_relations
 

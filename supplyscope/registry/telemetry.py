@@ -349,7 +349,11 @@ def e14_round_robin(spark, sf):
     return _choose(spark, sf, "round_robin")
 
 
-@book.query("e14_select_mirror_random")
+@book.query(
+    "e14_select_mirror_random",
+    ("mirror_check",),
+    PICK.format(state=STATE, how="row_number() over (partition by region order by md5(concat('0-', mirror)), mirror) = 1"),
+)
 def e14_random(spark, sf):
     return _choose(spark, sf, "random")
 
