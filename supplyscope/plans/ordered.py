@@ -158,17 +158,28 @@ def previous_value(
     return joined.withColumn(out, F.coalesce("__l", "__p")["v"]).drop("__l", "__p", "__v", _SLICE)
 
 
+# partial top-n ships up to n rows per group and map task; from here on they are cut once more
+SPREAD_FROM, SPREAD = 32, 64
+
+
 def first_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int = 1) -> DataFrame:
     """The first `n` rows of each group.
 
     Spark cuts every map partition to `n` rows per group before the shuffle
     (WindowGroupLimit, for `n` below `spark.sql.optimizer.windowGroupLimitThreshold`),
-    so a hot group never reaches one task whole. A larger `n` goes by full rank.
+    so a hot group never reaches one task whole. For a bigger `n` the rows of a group are
+    cut in `SPREAD` parts first. Beyond the threshold a full rank is taken.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    cols = _columns(order)
     if n > limit:
-        ranked = rank_in_group(df, group, order, "__rank")
-    else:
-        win = Window.partitionBy(*group).orderBy(*_columns(order))
-        ranked = df.withColumn("__rank", F.row_number().over(win))
-    return ranked.where(F.col("__rank") <= n).drop("__rank")
+        return rank_in_group(df, group, cols, "__rank").where(F.col("__rank") <= n).drop("__rank")
+
+    def cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*cols))
+        return rows.withColumn("__rank", place).where(F.col("__rank") <= n).drop("__rank")
+
+    if n >= SPREAD_FROM:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
+        df = cut(df.withColumn("__part", part), [*group, "__part"]).drop("__part")
+    return cut(df, group)

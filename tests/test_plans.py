@@ -58,6 +58,44 @@ def test_first_in_group_cuts_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_first_in_group_in_parts(spark):
+    df = hot(spark)
+    got = ordered.first_in_group(df, ["g"], [F.col("at").desc()], 200)
+    ranked = ordered.rank_in_group(df, ["g"], [F.col("at").desc()], "r").where("r <= 200").drop("r")
+    assert rows(got) == rows(ranked)
+
+
+def test_results_do_not_depend_on_partitions(spark, frame):
+    from supplyscope.operators.telemetry import evict_by_size, mirror_current_state
+    from supplyscope.operators.versions import best_match, rank_versions
+
+    versions = spark.range(400).select(
+        F.concat(F.lit("p"), F.col("id") % 3).alias("package"), F.concat_ws(".", F.col("id") % 5, F.col("id") % 7, F.col("id") % 11).alias("version"), "id"
+    )
+    checks = spark.range(400).select(
+        F.col("id").alias("event_id"), (F.col("id") % 3).alias("mirror"), F.timestamp_seconds(F.col("id") * 37 % 400).alias("ts"),
+        (F.col("id") % 5 > 1).alias("healthy"), F.col("id").cast("double").alias("latency"), F.lit(1).alias("priority"), F.lit(True).alias("enabled"),
+    )
+    entries = checks.select(F.col("event_id").alias("entry_key"), F.col("mirror").alias("pool"), F.lit(1).alias("size"), F.col("ts").alias("last_accessed"))
+    asked = versions.select("package", F.concat(F.lit("< "), "version").alias("constraint"), "id")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, seed in ((1, 1), (4, 2), (64, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            mixed = [df.orderBy(F.xxhash64(*df.columns, F.lit(seed))) for df in (versions, checks, entries, asked)]
+            results.append(
+                [
+                    rows(rank_versions(mixed[0], tie=["id"], max_rows=50).select("id", "ver_rank")),
+                    rows(mirror_current_state(mixed[1], hot_rows=50)),
+                    rows(evict_by_size(mixed[2], 40, max_rows=50)),
+                    rows(best_match(mixed[3], mixed[0], max_rows=50)),
+                ]
+            )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+
+
 def test_spread_join(spark):
     facts = hot(spark).where("g is not null")
     lookup = spark.range(4).select(F.col("id").alias("g"), (F.col("id") * 10).alias("x"))
