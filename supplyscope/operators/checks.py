@@ -148,6 +148,11 @@ def narrow_masks(facts: DataFrame) -> DataFrame:
     return facts.withColumn("narrowed", mask).withColumn("changed", changed)
 
 
+def suggest_guards(facts: DataFrame) -> DataFrame:
+    """Adds `suggestion` for facts (var, mask, expected): the guard that would make them fit."""
+    return facts.withColumn("suggestion", m.guard_suggestion(F.col("var"), F.col("mask"), F.col("expected")))
+
+
 def mask_in_context(mask: Column, context: Column) -> Column:
     """Mask of a value in scalar, list or void context; null where void discards it."""
     return F.when(context == "scalar", m.in_scalar_context(mask)).when(context != "void", mask)

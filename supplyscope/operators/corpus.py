@@ -319,6 +319,12 @@ def bundle_rows(locked: DataFrame, key: Sequence[str] = ("project", "module")) -
     return locked.select(*key, F.concat(F.lit(">="), "version").alias("constraint"))
 
 
+def bundle_json(bundle: DataFrame, key: Sequence[str] = ("project", "module")) -> DataFrame:
+    """One JSON text per bundled module, ready for a text sink."""
+    entry = F.struct(F.col(key[-1]).alias("name"), F.col("constraint").alias("version"))
+    return bundle.select(*key[:-1], F.to_json(entry).alias("value"))
+
+
 # --- test logs ----------------------------------------------------------------------------
 
 # fixed values: line forms of a test log, and the error texts looked for in other lines

@@ -66,6 +66,18 @@ def merge_array_layers(
     return wide.select(*key, merged.alias(value))
 
 
+def replace_map_layers(
+    rows: DataFrame, key: Sequence[str] = ("setting_key",), layers: Sequence[str] = LAYERS
+) -> DataFrame:
+    """Map settings under the replace strategy: all entries of the strongest layer that has the map.
+
+    `rows` has one row per map entry; the map key and value columns are kept as they are.
+    """
+    ranked = rows.withColumn("__rank", precedence(F.col("layer"), layers)).where(F.col("__rank").isNotNull())
+    top = ranked.groupBy(*key).agg(F.max("__rank").alias("__rank"))
+    return ranked.join(top, [*key, "__rank"], "left_semi").select(rows.columns)
+
+
 def resolve_precedence(
     candidates: DataFrame, order: Sequence[str], entity: Sequence[str] = ("entity",), source: str = "source", value: str = "value"
 ) -> DataFrame:

@@ -323,6 +323,36 @@ def d11(spark, sf):
     return checks.narrow_masks(relation(spark, sf, "guard_fact")).select("fact_id", "narrowed", "changed")
 
 
+def inside(child: str, parent: str) -> str:
+    return f"(({child} & {parent}) = {child} and {child} <> 0)"
+
+
+@book.query(
+    "d11_suggest_guards",
+    ("guard_fact",),
+    f"""with e as (select fact_id, mask, (case fact_id % 3 when 0 then 4 when 1 then {m.REF} else {m.BOOL} end)::bigint as want, mask & ~1 as bare, mask & {m.REF} as refs, mask & 2 as flag from guard_fact)
+    select fact_id, case when mask & 1 <> 0 and bare <> 0 and ({fits('bare', 'want')} or {inside('want', 'bare')}) then 'Add guard: if (defined($x)) {{ ... }}'
+      when refs <> 0 and ({fits('refs', 'want')} or {inside('want', 'refs')}) then 'Add guard: if (ref($x)) {{ ... }}'
+      when flag <> 0 and ({fits('flag', 'want')} or {inside('want', 'flag')}) then 'Add guard: if (builtin::is_bool($x)) {{ ... }}' else '' end as suggestion from e""",
+)
+def d11_guards(spark, sf):
+    kind = F.col("fact_id") % 3
+    expected = F.when(kind == 0, m.bits(m.INT)).when(kind == 1, m.bits(m.REF)).otherwise(m.bits(m.BOOL))
+    facts = relation(spark, sf, "guard_fact").select("fact_id", "mask", F.lit("$x").alias("var"), expected.alias("expected"))
+    return checks.suggest_guards(facts).select("fact_id", "suggestion")
+
+
+@book.query(
+    "d11_mask_in_context",
+    ("call_fact",),
+    f"""select call_id, arg_no, case when call_id % 3 = 0 then case when mask & {m.LIST} <> 0 then (mask & ~{m.LIST}) | 4 else mask end when call_id % 3 = 1 then mask end as seen from call_fact""",
+)
+def d11_context(spark, sf):
+    kind = F.col("call_id") % 3
+    context = F.when(kind == 0, "scalar").when(kind == 1, "list").otherwise("void")
+    return relation(spark, sf, "call_fact").select("call_id", "arg_no", checks.mask_in_context(F.col("mask"), context).alias("seen"))
+
+
 @book.query(
     "d12_verify_checksums",
     ("artifact",),
@@ -400,6 +430,15 @@ def d15_bundle(spark, sf):
     return corpus.bundle_rows(relation(spark, sf, "locked_install")).withColumnRenamed("constraint", "constraint_text")
 
 
+@book.query(
+    "d15_bundle_json",
+    ("locked_install",),
+    """select project, concat('{"name":"', module, '","version":">=', version, '"}') as value from locked_install""",
+)
+def d15_json(spark, sf):
+    return corpus.bundle_json(corpus.bundle_rows(relation(spark, sf, "locked_install")))
+
+
 TAP = """k as (select *, case when regexp_matches(line, '^# Testing') then 'file' when line like '1..%' then 'plan' when regexp_matches(line, '^ok ') then 'ok'
       when line like 'not ok%' then 'not_ok' when line like '#%' then 'diag' when line like 'Files=%' then 'summary' when line like 'Result:%' then 'result' else 'other' end as kind from tap_log),
     c as (select *, last_value(case when kind = 'file' then regexp_extract(line, '(t/\\d+\\.t)', 1) end ignore nulls) over w as file,

@@ -111,6 +111,17 @@ def f1_maps(spark, sf):
     return ops.merge_layers(relation(spark, sf, "typed_setting"), key=["kind", "setting_key"], empty_overrides=True)
 
 
+@book.query(
+    "f1_replace_maps",
+    ("setting",),
+    """select left(setting_key, 17) as map_name, setting_key, layer, val from setting qualify dense_rank() over (partition by left(setting_key, 17)
+      order by case layer when 'system' then 1 when 'user' then 2 else 3 end desc) = 1""",
+)
+def f1_replace_maps(spark, sf):
+    rows = relation(spark, sf, "setting").withColumn("map_name", F.substring("setting_key", 1, 17))
+    return ops.replace_map_layers(rows, ["map_name"])
+
+
 @book.query(
     "f2_resolve_precedence",
     ("version_candidate",),
