@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.plans.ordered import first_in_group
 from supplyscope.plans.shared import Stage, settle
+from supplyscope.plans.skew import keep_unseen
 
 
 def clean_edges(edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -59,7 +60,7 @@ def transitive_closure(
             fresh = fresh.select("root", "pkg", F.lit(depth).alias("depth"), "k.*")
         else:
             fresh = reached.select("root", F.col("dst").alias("pkg")).distinct().withColumn("depth", F.lit(depth))
-        front = known.add(fresh.join(known.all().select("root", "pkg"), ["root", "pkg"], "left_anti"))
+        front = known.add(keep_unseen(fresh, known.all(), ["root", "pkg"]))
     return known.all()
 
 
@@ -93,7 +94,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         settled = done.all().select(F.col("node").alias("dst"))
         touched = needs.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select("src").distinct()
         waiting = needs.join(touched, "src", "left_semi").join(settled, "dst", "left_anti").select("src").distinct()
-        ready = touched.join(waiting, "src", "left_anti").select(F.col("src").alias("node"), F.lit(level).alias("level"))
+        ready = keep_unseen(touched, waiting, ["src"]).select(F.col("src").alias("node"), F.lit(level).alias("level"))
         front = done.add(ready)
     placed = done.all()
     return ids.join(placed, "node", "left").withColumn("leftover", F.col("level").isNull())
@@ -158,7 +159,7 @@ def detect_cycles(edges: DataFrame) -> DataFrame:
         while not front.isEmpty():
             seen = front.select(F.col("node").alias("dst"), F.col("cycle_id").alias("color"))
             fresh = same.join(seen, ["dst", "color"]).select(F.col("src").alias("node"), F.col("color").alias("cycle_id")).distinct()
-            front = back.add(fresh.join(back.all().select("node"), "node", "left_anti"))
+            front = back.add(keep_unseen(fresh, back.all(), ["node"]))
         sets = back.all()
         sizes = sets.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"))
         own_loops = rest.where("src = dst").select(F.col("src").alias("cycle_id")).distinct().withColumn("loop", F.lit(True))
@@ -197,7 +198,8 @@ def conflict_requirers(requirements: DataFrame) -> DataFrame:
     """(module, constraint, requirer) of the conflicting constraints."""
     stated = requirements.where(F.coalesce("constraint", F.lit("")) != "")
     differ = stated.groupBy("module").agg(F.min("constraint").alias("a"), F.max("constraint").alias("b")).where("a <> b")
-    return stated.join(differ.select("module"), "module", "left_semi").select("module", "constraint", "requirer").distinct()
+    # distinct first: the join on the module alone then has nothing to combine and can be split
+    return stated.select("module", "constraint", "requirer").distinct().join(differ.select("module"), "module")
 
 
 def constraints_compatible(a: Column, b: Column) -> Column:
@@ -218,23 +220,25 @@ def removal_blockers(tools: DataFrame, edges: DataFrame) -> DataFrame:
     `module_users` has the full lists.
     """
     users = _users_of_mains(tools, edges)
-    stats = users.groupBy("main_module").agg(F.count(F.lit(1)).alias("n"), F.min("tool").alias("low"))
-    second = users.join(stats.select("main_module", "low"), "main_module").where(F.col("tool") != F.col("low"))
-    next_low = second.groupBy("main_module").agg(F.min("tool").alias("next"))
-    known = tools.join(stats, "main_module").join(next_low, "main_module", "left")
+    counts = users.groupBy("main_module").agg(F.count(F.lit(1)).alias("n"))
+    two = first_in_group(users, ["main_module"], ["tool"], 2)
+    lowest = two.groupBy("main_module").agg(F.min("tool").alias("low"), F.max("tool").alias("next"))
+    known = tools.join(counts, "main_module").join(lowest, "main_module")
     return known.select(
         "tool",
         "main_module",
         (F.col("n") == 1).alias("can_remove"),
         (F.col("n") - 1).alias("n_blockers"),
-        F.when(F.col("tool") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("first_blocker"),
+        F.when(F.col("tool") != F.col("low"), F.col("low"))
+        .when(F.col("next") != F.col("low"), F.col("next"))
+        .alias("first_blocker"),
     )
 
 
 def orphaned_modules(installed: DataFrame, tools: DataFrame, edges: DataFrame) -> DataFrame:
     """Installed modules that no tool needs, neither as its main module nor as a dependency."""
     used = edges.select("module").union(tools.select("main_module")).distinct()
-    return installed.select("module").distinct().join(used, "module", "left_anti")
+    return keep_unseen(installed.select("module").distinct(), used, ["module"])
 
 
 def orphaned_directories(directories: DataFrame, tools: DataFrame) -> DataFrame:

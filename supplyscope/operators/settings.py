@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.plans.ordered import first_in_group
 from supplyscope.plans.shared import Stage, settle
+from supplyscope.plans.skew import keep_unseen
 
 # fixed values: layers from weakest to strongest
 LAYERS = ("default", "system", "user", "project")
@@ -188,7 +189,7 @@ def expand_templates(df: DataFrame, column: str, variables: DataFrame) -> DataFr
         if front.isEmpty():
             break
         onward = front.select("text", F.explode(mentioned(F.col("value"))).alias("name")).distinct()
-        names = onward.join(reached.all().select("text", "name"), ["text", "name"], "left_anti")
+        names = keep_unseen(onward, reached.all(), ["text", "name"])
     # a template's variables are listed in its own text and in their values
     lists = (
         reached.all()

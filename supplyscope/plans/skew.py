@@ -18,6 +18,16 @@ from supplyscope.plans.ordered import MAX_GROUP_ROWS
 from supplyscope.plans.shared import settle
 
 
+def keep_unseen(rows: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows without a partner in `seen`, which has one row per key.
+
+    The same as a left anti join, but Spark does not move it below a distinct or an
+    aggregation in `rows`: those stay first and combine equal rows before the shuffle.
+    """
+    marked = seen.select(*on).withColumn("__seen", F.lit(True))
+    return rows.join(marked, list(on), "left").where(F.col("__seen").isNull()).drop("__seen")
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
