@@ -101,7 +101,7 @@ def parse_manifests(files: DataFrame, key: str = "file_id", text: str = "text")
     that opens one, so that a line's context follows from the few openers before it.
     """
     rough = F.regexp_replace(F.col(text), r"(?m)^[ \t]*(?:#.*)?\r?$\n?", "")
-    closed = F.regexp_replace(rough, rf"(?m)^(?!.*{_OPENER})(.*\}};.*)$", "$2\u0001")
+    closed = F.regexp_replace(rough, rf"(?m)^(?=[^\n]*\}};)(?!.*{_OPENER})(.*)$", "$2\u0001")
     opened = F.transform(
         F.split(closed, "\u0001\n?"),
         lambda piece: F.split(F.regexp_replace(piece, rf"(?m)^(?=.*{_OPENER})", "\u0002"), "\u0002"),
@@ -134,13 +134,16 @@ def parse_manifests(files: DataFrame, key: str = "file_id", text: str = "text")
         return F.aggregate(segments, F.struct(start.alias("state"), empty.alias("rows")), add)["rows"]
 
     rows = files.select(key, F.explode(F.flatten(F.transform(opened, with_context))).alias("s"))
-    opener = F.lit(rf"(?m)^.*{_OPENER}.*$\n?")
-    body = F.regexp_replace(F.col("s.segment"), opener, F.lit(""))
+    # only the first line of a segment can open a block
+    segment = F.col("s.segment")
+    rest = F.when(segment.contains("\n"), F.substr(segment, F.instr(segment, "\n") + 1)).otherwise("")
+    body = F.when(F.substring_index(segment, "\n", 1).rlike(_OPENER), rest).otherwise(segment)
     lines = rows.select(key, "s.state.*", F.explode(_lines(body)).alias("line"))
     pattern = rf"""(?:^|\s)({'|'.join(RELATIONSHIPS)}){_QUOTED}(?:\s*,\s*['"]([^'"]+)['"])?"""
     kind = F.regexp_extract("line", pattern, 1)
     phase = F.when(kind == "test_requires", "test").when(kind == "build_requires", "build").otherwise(F.col("phase"))
-    return lines.where(F.col("line").rlike(pattern)).select(
+    named = F.col("line").contains("requires") | F.col("line").contains("recommends") | F.col("line").contains("suggests")
+    return lines.where(named & F.col("line").rlike(pattern)).select(
         key,
         F.regexp_extract("line", pattern, 2).alias("module"),
         F.nullif(F.regexp_extract("line", pattern, 3), F.lit("")).alias("version"),
