@@ -167,8 +167,8 @@ def first_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Co
 
     Spark cuts every map partition to `n` rows per group before the shuffle
     (WindowGroupLimit, for `n` below `spark.sql.optimizer.windowGroupLimitThreshold`),
-    so a hot group never reaches one task whole. For a bigger `n` the rows of a group are
-    cut in `SPREAD` parts first. Beyond the threshold a full rank is taken.
+    so a hot group never reaches one task whole. For a bigger `n` what the tasks ship is
+    cut once more in `SPREAD` parts. Beyond the threshold a full rank is taken.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     cols = _columns(order)
@@ -180,6 +180,7 @@ def first_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Co
         return rows.withColumn("__rank", place).where(F.col("__rank") <= n).drop("__rank")
 
     if n >= SPREAD_FROM:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
+        # one part per map task: a part per row would let every task ship n rows for each part
+        part = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
         df = cut(df.withColumn("__part", part), [*group, "__part"]).drop("__part")
     return cut(df, group)
