@@ -62,7 +62,10 @@ def dotted_key(version: Column) -> Column:
 
 
 def triple_key(version: Column) -> Column:
-    """struct<major,minor,patch>; a release-candidate or underscore suffix is ignored."""
+    """struct<major,minor,patch>; a release-candidate or underscore suffix is ignored.
+
+    Null where a number is too long for a bigint: such a version is not compared.
+    """
     bare = F.regexp_replace(F.trim(version), "^(?:perl-)?v?", "")
     core = F.split(F.regexp_extract(bare, TRIPLE, 0), r"[-_]")[0]
 
@@ -70,8 +73,11 @@ def triple_key(version: Column) -> Column:
         def number(i: int) -> Column:
             return F.coalesce(F.get(parts, i).try_cast("long"), F.lit(0).cast("long"))
 
+        def too_long(i: int) -> Column:
+            return F.coalesce(F.get(parts, i).rlike("^[0-9]+$"), F.lit(False)) & F.get(parts, i).try_cast("long").isNull()
+
         key = F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"))
-        return F.when(parts[0] != "", key)
+        return F.when((parts[0] != "") & ~too_long(0) & ~too_long(1) & ~too_long(2), key)
 
     return bind(F.split(core, r"\."), read)
 

@@ -376,15 +376,25 @@ def tap_lines(logs: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
         {"file": named, "failure_line": opened.cast("long")},
         max_rows,
     )
-    inside = F.col("kind").isin("not_ok", "diag") & (F.col("failure_line") >= 0)
-    return carried.withColumn("failure_line", F.when(inside, F.col("failure_line")))
+    inside = F.col("kind").isin("not_ok", "diag") & F.coalesce(F.col("failure_line") >= 0, F.lit(False))
+    # a `#` line outside a failure is read like any other line
+    outside = F.when(line.rlike(TAP_RESULT), "result").otherwise("other")
+    settled = F.when((F.col("kind") == "diag") & ~inside, outside).otherwise(F.col("kind"))
+    return carried.withColumns({"failure_line": F.when(inside, F.col("failure_line")), "kind": settled})
+
+
+def tap_failure_lines(lines: DataFrame) -> DataFrame:
+    """(run, failure_line, line_no, text): every diagnostic line of a failed test."""
+    rows = lines.where((F.col("kind") == "diag") & F.col("failure_line").isNotNull())
+    return rows.select("run", "failure_line", "line_no", F.regexp_replace("line", r"^# ", "").alias("text"))
 
 
 def tap_failures(lines: DataFrame) -> DataFrame:
     """Failed tests (run, failure_line, file, test_name, error, kinds of cause).
 
-    `error` is the first diagnostic line; the rows of `lines` with the same
-    `failure_line` hold all of them.
+    `error` is the first diagnostic line; `tap_failure_lines` has all of them. Outside failed tests
+    every line with an error text is a failure of its file, unless an earlier failure of the file
+    has the error's name in its text.
     """
     text = F.regexp_replace("line", r"^# ", "")
     low = F.lower("line")
@@ -409,12 +419,17 @@ def tap_failures(lines: DataFrame) -> DataFrame:
         )
     )
     error_type = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), n) for n, p in ERROR_TEXTS]))
+    named = lines.where(F.col("kind").isin("other", "diag") & F.col("file").isNotNull())
+    told = F.array_compact(F.array(*[F.when(F.contains(F.col("line"), F.lit(n)), F.lit(n)) for n, _ in ERROR_TEXTS]))
+    counted = (F.col("kind") == "diag") | (F.size(error_type) > 0)
+    first = named.where(counted).select("run", "file", "line_no", F.explode(told).alias("error_type"))
+    first = first.groupBy("run", "file", "error_type").agg(F.min("line_no").alias("first"))
     broken = (
-        lines.where((F.col("kind") == "other") & F.col("file").isNotNull())
+        named.where("kind = 'other'")
         .withColumn("error_type", F.explode(error_type))
-        .groupBy("run", "file", "error_type")
-        .agg(F.min(F.struct("line_no", "line")).alias("at"))
-        .select("run", F.col("at.line_no").alias("failure_line"), "file", F.lit("Build/Compilation").alias("test_name"), F.col("at.line").alias("line"))
+        .join(first, ["run", "file", "error_type"], "left")
+        .where("first is null or line_no <= first")
+        .select("run", F.col("line_no").alias("failure_line"), "file", F.lit("Build/Compilation").alias("test_name"), "line")
         .select("run", "failure_line", "file", "test_name", F.col("line").alias("error"), *[f.alias(n) for n, f in flags.items()])
     )
     return failed.unionByName(broken)

@@ -132,13 +132,13 @@ def categories(docs: DataFrame) -> DataFrame:
     return docs.select("category").distinct().orderBy("category")
 
 
-# fixed values: default and greatest number of search results
-DEFAULT_HITS, MOST_HITS = 20, 100
+# fixed value: default number of search results
+DEFAULT_HITS = 20
 
 
 def search_packages(index: DataFrame, query: str, limit: int = 0) -> DataFrame:
     """Best scored index rows whose name or abstract contains `query`, with the total number."""
-    size = DEFAULT_HITS if limit <= 0 else min(limit, MOST_HITS)
+    size = limit if limit > 0 else DEFAULT_HITS
     wanted = F.lit(query.lower())
     hits = index.where(
         F.contains(F.lower("name"), wanted) | F.contains(F.lower(F.coalesce("abstract", F.lit(""))), wanted)

@@ -239,8 +239,8 @@ def validate_rows(rows: DataFrame, rules: DataFrame, entity: str = "entity") ->
     """Violations (entity, key, violation) of a rule table.
 
     `rows` has (entity, key, val); `rules` has (key, required, type, allowed, min, max, pattern)
-    with one row per key. Missing required keys are found by counting: only entities that
-    have fewer required keys than there are get them listed.
+    with one row per key. A required key is missing where the entity has no row of it, or only null
+    values; an entity with nothing but nulls misses them all.
     """
     val, kind = F.col("val"), F.col("type")
     number = F.when(kind == "int", val.try_cast("long")).when(kind == "duration", duration_seconds(val))
@@ -257,9 +257,9 @@ def validate_rows(rows: DataFrame, rules: DataFrame, entity: str = "entity") ->
     found = rows.join(rules, "key").select(entity, "key", F.explode(broken).alias("violation"))
     needed = rules.where("required").select("key")
     wanted = needed.agg(F.array_sort(F.collect_set("key")))
-    present = rows.join(needed.withColumn("__need", F.lit(True)), "key", "left").where(F.col("val").isNotNull())
+    present = rows.join(needed.withColumn("__need", F.lit(True)), "key", "left")
     # at most as many keys per entity as there are required rules
-    have = present.groupBy(entity).agg(F.collect_set(F.when(F.col("__need"), F.col("key"))).alias("have"))
+    have = present.groupBy(entity).agg(F.collect_set(F.when(F.col("__need") & val.isNotNull(), F.col("key"))).alias("have"))
     missing = have.select(entity, F.explode(F.array_except(wanted.scalar(), "have")).alias("key"))
     return found.unionByName(missing.withColumn("violation", F.lit("required")))
 

@@ -417,9 +417,12 @@ def expire_entries(
 
 
 def evict_by_size(entries: DataFrame, limit: float, pool: Sequence[str] = ("pool",), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The least recently used entries that have to go until each pool fits `limit`."""
+    """The least recently used entries that have to go until each pool fits `limit`.
+
+    Sizes are added up as decimals with six places, so that the sum does not depend on how a pool is cut.
+    """
     newest = [F.col("last_accessed").desc(), F.col("entry_key").desc()]
-    summed = running_sum(entries, list(pool), newest, F.col("size"), "__kept", max_rows)
+    summed = running_sum(entries, list(pool), newest, F.col("size").cast("decimal(28,6)"), "__kept", max_rows)
     return summed.where(F.col("__kept") > limit).drop("__kept")
 
 

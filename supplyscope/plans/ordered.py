@@ -5,7 +5,8 @@ rows, not for a group that holds a third of the input. Each function here asks
 for the size of the largest group first. Up to `max_rows` it uses a plain window.
 Beyond that it cuts the groups along their order into slices by range
 partitioning, works inside each slice, and carries a one-row summary per slice
-to the slices after it. Both ways give the same rows.
+to the slices after it. Both ways give the same rows; for sums, as long as the values are integers or
+decimals (doubles are rounded differently in another order, so callers cast them).
 
 For `carry_forward` and `previous_value` the order must be ascending, and for
 all functions it should end with a unique column so that ties can be cut too.

@@ -441,14 +441,17 @@ def d15_json(spark, sf):
 
 TAP = """k as (select *, case when regexp_matches(line, '^# Testing') then 'file' when line like '1..%' then 'plan' when regexp_matches(line, '^ok ') then 'ok'
       when line like 'not ok%' then 'not_ok' when line like '#%' then 'diag' when line like 'Files=%' then 'summary' when line like 'Result:%' then 'result' else 'other' end as kind from tap_log),
-    c as (select *, last_value(case when kind = 'file' then regexp_extract(line, '(t/\\d+\\.t)', 1) end ignore nulls) over w as file,
+    w as (select *, last_value(case when kind = 'file' then regexp_extract(line, '(t/\\d+\\.t)', 1) end ignore nulls) over w as file,
       last_value(case when kind = 'not_ok' then line_no when kind in ('ok', 'file') then -1 end ignore nulls) over w as fl from k
       window w as (partition by run order by line_no rows unbounded preceding)),
+    c as (select * replace (case when kind = 'diag' and coalesce(fl, -1) < 0 then case when line like '%Result: %' then 'result' else 'other' end else kind end as kind) from w),
     d as (select run, fl, arg_min(line[3:], line_no) as first_line, bool_or(lower(line) like '%permission denied%') as perm from c where kind = 'diag' and fl >= 0 group by run, fl),
     f as (select c.run, c.line_no as failure_line, c.file, case when line like '%odd' then 'odd' else concat('Test ', regexp_extract(line, '(\\d+)', 1)) end as test_name,
         coalesce(d.first_line, 'Test failed') as error, false as missing, false as comp, coalesce(perm, false) as perm from c left join d on d.run = c.run and d.fl = c.line_no where kind = 'not_ok'
-      union all select run, min(line_no), file, 'Build/Compilation', arg_min(line, line_no), bool_or(line like 'Can%'), bool_or(line like 'syntax%'), false
-        from c where kind = 'other' and file is not null and (line like 'Can%' or line like 'syntax%') group by run, file, line[1:3])"""
+      union all select run, line_no, file, 'Build/Compilation', line, line like 'Can%', line like 'syntax%', false
+        from c where kind = 'other' and file is not null and (line like 'Can%' or line like 'syntax%')
+      union all select run, line_no, file, 'Build/Compilation', line, false, false, true from c where kind = 'other' and line like '%Permission denied%'
+        and (run, file, line_no) in (select (run, file, min(line_no)) from c where kind in ('other', 'diag') and line like '%Permission denied%' and file is not null group by run, file))"""
 
 
 @book.query("d16_tap_failures", ("tap_log",), f"with {TAP} select run, failure_line, file, test_name, error from f")
@@ -457,6 +460,11 @@ def d16_failures(spark, sf):
     return failures.select("run", "failure_line", "file", "test_name", "error")
 
 
+@book.query("d16_failure_lines", ("tap_log",), f"with {TAP} select run, fl as failure_line, line_no, line[3:] as text from c where kind = 'diag' and fl >= 0")
+def d16_failure_lines(spark, sf):
+    return corpus.tap_failure_lines(corpus.tap_lines(relation(spark, sf, "tap_log")))
+
+
 @book.query(
     "d16_tap_results",
     ("tap_log",),

@@ -65,13 +65,21 @@ def lock_lines(modules: DataFrame, generated: str, project: str = "project") ->
 def write_lock_text(lines: DataFrame, path: str, project: str = "project") -> None:
     """One folder `project=…` per project with its lock text.
 
-    Lines are range partitioned and sorted, never gathered: the text of a very large
-    project is split over several files in name order.
+    Lines are range partitioned by project and distribution and sorted, never gathered: the text of a
+    very large project is split over several files in name order, and never inside a distribution.
     """
     order = [project, "dist", "part", "module"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(project, "line").write.partitionBy(project).text(path)
+    lines.repartitionByRange(project, "dist").sortWithinPartitions(*order).select(project, "line").write.partitionBy(project).text(path)
 
 
 def read_lock_text(spark: SparkSession, path: str) -> DataFrame:
-    """(project, text) of the folders that `write_lock_text` made, one row per file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+    """(project, text) of the folders that `write_lock_text` made, one row per file.
+
+    The interpreter's line stands in a project's first file only; the others get it in front.
+    """
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+    own = F.nullif(F.regexp_extract("text", r"(?m)^# Perl version: (.*)$", 1), F.lit(""))
+    perl = files.groupBy(F.col("project").alias("__project")).agg(F.max(own).alias("__perl"))
+    met = files.join(perl, F.col("project").eqNullSafe(F.col("__project")), "left")
+    line = F.concat(F.lit("# Perl version: "), F.col("__perl"), F.lit("\n"))
+    return met.select("project", F.when(own.isNull() & F.col("__perl").isNotNull(), F.concat(line, "text")).otherwise(F.col("text")).alias("text"))

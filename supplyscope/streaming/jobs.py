@@ -17,9 +17,6 @@ from pyspark.sql.types import StructType
 from supplyscope.functions.moments import at
 from supplyscope.operators.telemetry import mirror_current_state
 
-_ANY = "*"
-
-
 def open_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if pattern:
@@ -38,22 +35,26 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Event × subscriber for each active subscription (id, types, sources, components, active).
 
     An empty list accepts everything; an event without component only fits subscriptions
-    that do not ask for one. Both sides spell out what they offer or ask for, with a
-    wildcard, so that the match is an equality join on three columns.
+    that do not ask for one. Both sides spell out what they offer or ask for, as pairs
+    (any value will do, value), so that the match is an equality join on three pairs.
     """
     kinds = ("type", "source", "component")
+    anything = F.struct(F.lit(True).alias("any"), F.lit("").alias("value"))
+
+    def exactly(value: Column) -> Column:
+        return F.struct(F.lit(False).alias("any"), value.alias("value"))
 
     def asked(column: str) -> Column:
         listed = F.array_distinct(F.coalesce(F.col(column), F.array().cast("array<string>")))
-        return F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(_ANY))))
+        return F.explode(F.when(F.size(listed) > 0, F.transform(F.array_compact(listed), exactly)).otherwise(F.array(anything)))
 
     asks = subscriptions.where("active").select(F.col("id").alias("subscriber"), "types", "sources", "components")
     for kind in kinds:
         asks = asks.withColumn(f"__{kind}", asked(f"{kind}s")).drop(f"{kind}s")
 
     def offers(kind: str) -> Column:
-        own = F.col(kind).cast("string")
-        given = F.when(F.coalesce(own, F.lit("")) != "", F.array(own, F.lit(_ANY))).otherwise(F.array(F.lit(_ANY)))
+        own = F.coalesce(F.col(kind).cast("string"), F.lit(""))
+        given = F.when(own != "", F.array(exactly(own), anything)).otherwise(F.array(anything))
         return F.explode(given)
 
     offered = events
