@@ -175,14 +175,46 @@ BUILTINS = {
     "sort": (1, [LIST], LIST),
 }
 
-# fixed values: operators by (left mask, right mask); those of Any take everything
+# fixed values: masks of an operator's left side, right side and result; Any takes everything
 OPERATORS = {
-    (NUM, NUM): "+ - * / % ** == != < > <= >= <=>",
-    (STR, STR): ". eq ne lt gt le ge cmp",
-    (STR, INT): "x",
-    (ANY, ANY): "&& || // and or xor =",
-    (INT, INT): "& | ^ << >> .. ...",
-    (SCALAR, STR): "isa",
-    (STR, REGEX): "=~ !~",
+    "+": (NUM, NUM, NUM),
+    "-": (NUM, NUM, NUM),
+    "*": (NUM, NUM, NUM),
+    "/": (NUM, NUM, NUM),
+    "%": (NUM, NUM, NUM),
+    "**": (NUM, NUM, NUM),
+    ".": (STR, STR, STR),
+    "x": (STR, INT, STR),
+    "==": (NUM, NUM, BOOL),
+    "!=": (NUM, NUM, BOOL),
+    "<": (NUM, NUM, BOOL),
+    ">": (NUM, NUM, BOOL),
+    "<=": (NUM, NUM, BOOL),
+    ">=": (NUM, NUM, BOOL),
+    "<=>": (NUM, NUM, INT),
+    "eq": (STR, STR, BOOL),
+    "ne": (STR, STR, BOOL),
+    "lt": (STR, STR, BOOL),
+    "gt": (STR, STR, BOOL),
+    "le": (STR, STR, BOOL),
+    "ge": (STR, STR, BOOL),
+    "cmp": (STR, STR, INT),
+    "&&": (ANY, ANY, ANY),
+    "||": (ANY, ANY, ANY),
+    "//": (ANY, ANY, ANY),
+    "and": (ANY, ANY, ANY),
+    "or": (ANY, ANY, ANY),
+    "xor": (ANY, ANY, BOOL),
+    "&": (INT, INT, INT),
+    "|": (INT, INT, INT),
+    "^": (INT, INT, INT),
+    "<<": (INT, INT, INT),
+    ">>": (INT, INT, INT),
+    "isa": (SCALAR, STR, BOOL),
+    "=~": (STR, REGEX, BOOL),
+    "!~": (STR, REGEX, BOOL),
+    "..": (INT, INT, LIST),
+    "...": (INT, INT, LIST),
+    "=": (ANY, ANY, ANY),
 }
-NUMERIC_COMPARISONS = "== != < > <= >= <=>".split()
+NUMERIC_COMPARISONS = ["==", "!=", "<", ">", "<=", ">=", "<=>"]

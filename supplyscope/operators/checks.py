@@ -73,7 +73,7 @@ def builtin_signatures(spark: SparkSession) -> DataFrame:
 
 
 def operator_signatures(spark: SparkSession) -> DataFrame:
-    rows = [(op, left, right) for (left, right), ops in m.OPERATORS.items() for op in ops.split()]
+    rows = [(op, left, right) for op, (left, right, _) in m.OPERATORS.items()]
     return spark.createDataFrame(rows, "name string, left_mask bigint, right_mask bigint")
 
 

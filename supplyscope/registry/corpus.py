@@ -263,7 +263,7 @@ def d8(spark, sf):
     return checks.check_signatures(calls, checks.builtin_signatures(spark)).select("call_id", "arg_no", "code", "severity")
 
 
-OPS = "(values " + ", ".join(f"('{o}', {le}, {ri})" for (le, ri), ops in m.OPERATORS.items() for o in ops.split()) + ") s(name, l, r)"
+OPS = "(values " + ", ".join(f"('{o}', {le}, {ri})" for o, (le, ri, _) in m.OPERATORS.items()) + ") s(name, l, r)"
 
 
 @book.query(
