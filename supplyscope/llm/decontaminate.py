@@ -97,10 +97,13 @@ def benchmark_hits(
         found = places.join(entries, "token").withColumnsRenamed({"id": "c_id", "row_hash": "c_hash"}).distinct()
         same = split["id"].eqNullSafe(found["c_id"]) & (split["row_hash"] == found["c_hash"])
         met = split.distinct().join(found, same)
-    spans = met.select("id", "row_hash", "item", _proved().alias("spans")).where(F.size("spans") > 0)
+    # no filter on the spans here: it would move into the join, which then leaves the generated code and
+    # copies the words of a document once for each of its words
+    spans = met.select("id", "row_hash", "item", _proved().alias("spans"))
     hits = spans.groupBy(F.col("id").alias("h_id"), F.col("row_hash").alias("h_hash")).agg(
-        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.sort_array(F.collect_set(F.when(F.size("spans") > 0, F.col("item")))).alias("items")
     )
+    hits = hits.where(F.size("spans") > 0)
     counted = hits.select("h_id", "h_hash", covered(F.col("spans")).alias("n_hit"), "items")
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RUN)).cast("long").alias("n_words")
     base = docs.select("id", row_hash, n_words)
