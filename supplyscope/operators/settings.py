@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyscope.plans.ordered import first_in_group
 from supplyscope.plans.shared import Stage, settle
-from supplyscope.plans.skew import keep_unseen
 
 # fixed values: layers from weakest to strongest
 LAYERS = ("default", "system", "user", "project")
@@ -128,78 +126,80 @@ def diff_tables(a: DataFrame, b: DataFrame, key: Sequence[str], value: str) -> D
 
 # fixed value: nesting allowed in templates
 MAX_DEPTH = 10
-_REFERENCE = r"\$\{([^${}]*?)(?::-|\})"
-
-
-def _template_udf(max_depth: int = MAX_DEPTH):
-    """The text replacement as a pandas UDF; all it needs travels with it to the workers."""
-
-    def closing(text: str, at: int) -> int:
-        inner = 0
-        for i in range(at, len(text)):
-            if text[i] == "}" and inner == 0:
-                return i
-            inner += {"{": 1, "}": -1}.get(text[i], 0)
-        return -1
-
-    def expand(text: str, variables: dict[str, str], busy: frozenset[str] = frozenset()) -> str:
-        if len(busy) > max_depth:
-            raise ValueError("depth exceeded")
-        done = ""
-        while (start := text.find("${")) >= 0 and (end := closing(text, start + 2)) >= 0:
-            name, _, default = text[start + 2 : end].partition(":-")
-            name = name.strip()
-            if name in busy:
-                raise ValueError(f"circular reference: {name}")
-            inner = expand(variables.get(name) or default, variables, busy | {name})
-            done, text = done + text[:start] + inner, text[end + 1 :]
-        return done + text
-
-    def one(text, names, values):
-        try:
-            return expand(text, {} if names is None else dict(zip(names, values))), None
-        except ValueError as problem:
-            return None, str(problem)
-
-    @F.pandas_udf("struct<expanded:string,error:string>")
-    def expand_batch(text: pd.Series, names: pd.Series, values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*row) for row in zip(text, names, values)], columns=["expanded", "error"])
-
-    return expand_batch
-
-
-def expand_templates(df: DataFrame, column: str, variables: DataFrame) -> DataFrame:
-    """Adds `expanded` and `error` for `${NAME}` and `${NAME:-default}` in a text column.
+#: braces nested deeper than this inside one reference count as unclosed
+MAX_BRACES = 40
+
+
+def _reference_pattern(levels: int = MAX_BRACES) -> str:
+    """A `${…}` with its own closing brace; possessive, so a text is read once and never backtracked."""
+    inside = "[^{}]*+"
+    for _ in range(levels):
+        inside = rf"[^{{}}]*+(?:\{{{inside}\}}[^{{}}]*+)*+"
+    return rf"\$\{{{inside}\}}"
+
 
-    Each distinct template collects, by joins, the variables that it reaches (at most
-    `MAX_DEPTH` levels); only the text replacement itself runs in Python, on Arrow batches.
-    Unset variables without a default become empty; a cycle or too deep nesting is an error.
+def _pieces(text: Column) -> Column:
+    """Array of (idx, text, name, fallback): literals at even places, references at odd ones.
+
+    A reference that is never closed makes the rest of the text a literal.
     """
-    spark = df.sparkSession
-    given = settle(variables.where(F.coalesce("value", F.lit("")) != "").groupBy("name").agg(F.max("value").alias("value")))
+    closed = _reference_pattern()
+    either = rf"(?s){closed}|\$\{{.*"
+    between = F.split(text, either, -1)
+    found = F.regexp_extract_all(text, F.lit(either), F.lit(0))
+    inner = lambda x: F.substring(x, F.lit(3), F.length(x) - 3)
+    name = lambda x: F.regexp_replace(F.substring_index(inner(x), ":-", 1), r"^\s+|\s+$", "")
+    fallback = lambda x: F.when(F.locate(":-", x) > 0, F.regexp_replace(inner(x), "(?s)^.*?:-", ""))
+    is_closed = lambda x: x.rlike(f"(?s)^{closed}$")
+    literals = F.transform(
+        between, lambda x, i: F.struct((2 * i).alias("idx"), x.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("fallback"))
+    )
+    references = F.transform(
+        found, lambda x, i: F.struct((2 * i + 1).alias("idx"), x.alias("text"), F.when(is_closed(x), name(x)).alias("name"), F.when(is_closed(x), fallback(x)).alias("fallback"))
+    )
+    return F.filter(F.concat(literals, references), lambda p: (p["idx"] == 0) | (p["text"] != ""))
+
+
+def expand_templates(df: DataFrame, column: str, variables: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Adds `expanded` and `error` for `${NAME}` and `${NAME:-default}` in a text column.
 
-    def mentioned(text: Column) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)), lambda n: F.trim(n)))
+    Every distinct template is cut into literals and references, a row for each. In a round all open
+    references are joined to their variables, and the texts found there (or the defaults) are cut in
+    turn; `place` keeps the order of the pieces and `path` the names around them. A template is put
+    together once, when none of its references is open.
 
-    templates = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
-    reached = Stage(spark)
-    names = templates.select("text", F.explode(mentioned(F.col("text"))).alias("name"))
-    for _ in range(MAX_DEPTH + 1):
-        front = reached.add(names.join(given, "name").select("text", "name", "value"))
+    Unset variables without a default become empty; a name inside itself or more than `max_depth`
+    names around a text is an error, and the leftmost error of a template is the one reported.
+    """
+    given = settle(variables.where(F.coalesce("value", F.lit("")) != "").groupBy("name").agg(F.max("value").alias("value")))
+    texts = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
+    nothing = F.array()
+    current = texts.select(
+        F.sha2("text", 256).alias("template"), nothing.cast("array<int>").alias("place"), nothing.cast("array<string>").alias("path"), "text"
+    )
+    rounds = Stage(df.sparkSession)
+    too_deep = F.size("path") > max_depth
+    whole = F.array(F.struct(F.lit(0).alias("idx"), F.lit("").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("fallback")))
+    for _ in range(max_depth + 2):
+        cut = current.withColumn("too_deep", too_deep).withColumn("p", F.explode(F.when(too_deep, whole).otherwise(_pieces(F.col("text")))))
+        error = F.when(F.col("too_deep"), "depth exceeded").when(
+            F.array_contains("path", F.col("p.name")), F.concat(F.lit("circular reference: "), F.col("p.name"))
+        )
+        place = F.concat("place", F.array("p.idx")).alias("place")
+        known = rounds.add(cut.select("template", place, "path", "p.text", "p.name", "p.fallback", error.alias("error")))
+        front = known.where(F.col("name").isNotNull() & F.col("error").isNull())
         if front.isEmpty():
             break
-        onward = front.select("text", F.explode(mentioned(F.col("value"))).alias("name")).distinct()
-        names = keep_unseen(onward, reached.all(), ["text", "name"])
-    # a template's variables are listed in its own text and in their values
-    lists = (
-        reached.all()
-        .groupBy("text")
-        .agg(F.collect_list(F.struct("name", "value")).alias("v"))
-        .select("text", F.col("v.name").alias("names"), F.col("v.value").alias("vals"))
+        inside = F.concat("path", F.array("name")).alias("path")
+        current = front.join(given, "name", "left").select("template", "place", inside, F.coalesce("value", "fallback", F.lit("")).alias("text"))
+    closed = rounds.all().where(F.col("name").isNull() | F.col("error").isNotNull())
+    ordered = F.sort_array(F.collect_list(F.struct("place", "text")))
+    done = closed.groupBy("template").agg(
+        ordered.alias("parts"), F.min(F.when(F.col("error").isNotNull(), F.struct("place", "error")))["error"].alias("error")
     )
-    done = templates.join(lists, "text", "left").select("text", _template_udf()("text", "names", "vals").alias("r"))
-    done = settle(done.select(F.col("text").alias(column), "r.expanded", "r.error"))
-    return df.join(done, column, "left")
+    joined = F.array_join(F.transform("parts", lambda x: x["text"]), "")
+    done = done.select("template", F.when(F.col("error").isNull(), joined).alias("expanded"), "error")
+    return df.withColumn("template", F.sha2(column, 256)).join(done, "template", "left").drop("template")
 
 
 # fixed values: words that mark a secret, and the length up to which nothing of it is shown

@@ -39,19 +39,30 @@ VARIABLES = {
 }
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("plain", "plain"), ("${HOME}/x", "/h/x"), ("${ HOME }", "/h"), ("${A}${A}", "bb"), ("${NO}", ""), ("${NO:-d}", "d"), ("${NO:-${A}}", "b"), ("${EMPTY:-e}", "e"),
-        ("${NO:-a{b}c}", "a{b}c"), ("${open", "${open"), ("${LOOP}", None), ("${HOME:-${LOOP}}", "/h"), ("${D0}", None), ("${D5}", ""), ("$HOME {x}", "$HOME {x}"),
-    ],
-)
-def test_templates(spark, text, want):
+TEMPLATES = [
+    ("plain", "plain"), ("${HOME}/x", "/h/x"), ("${ HOME }", "/h"), ("${A}${A}", "bb"), ("${NO}", ""), ("${NO:-d}", "d"), ("${NO:-${A}}", "b"), ("${EMPTY:-e}", "e"),
+    ("${NO:-a{b}c}", "a{b}c"), ("${open", "${open"), ("${LOOP}", None), ("${HOME:-${LOOP}}", "/h"), ("${D0}", None), ("${D5}", ""), ("$HOME {x}", "$HOME {x}"),
+    ("", ""), ("${}", ""), ("${LOOP:-x} ${NO", None), ("${NO:-${LOOP}}", None), ("${NO:-${NO}}", None), ("${NO:-}x", "x"), ("${open ${A}", "${open ${A}"),
+    ("${A}${NO:-{${HOME}}}\n${ A :-x:-y}${B", "b{/h}\nb${B"), ("${NO:-a:-b}", "a:-b"), ("}{${A}}{", "}{b}{"), ("${A}" * 3000, "b" * 3000), ("${NO:-" + "${NO2:-" + "v" + "}}", "v"),
+]
+
+
+def test_templates(spark):
     variables = spark.createDataFrame(list(VARIABLES.items()), "name string, value string")
-    df = spark.createDataFrame([(1, text), (2, text)], "id int, t string")
+    df = spark.createDataFrame([(k, text) for text, _ in TEMPLATES for k in (1, 2)], "id int, t string")
     got = ops.expand_templates(df, "t", variables).collect()
-    assert [r.expanded for r in got] == [want, want]
-    assert all((r.error is None) == (want is not None) for r in got)
+    assert len(got) == 2 * len(TEMPLATES)
+    assert {r.t: r.expanded for r in got} == dict(TEMPLATES)
+    assert all((r.error is None) == (r.expanded is not None) for r in got)
+
+
+def test_template_errors(spark, frame):
+    variables = spark.createDataFrame([*VARIABLES.items(), (None, "x")], "name string, value string")
+    df = frame("t string", ("${D0}",), ("a${NO:-${LOOP}}${D0}",), ("${D0}${LOOP}",), (None,))
+    got = {r.t: r.error for r in ops.expand_templates(df, "t", variables).collect()}
+    circle = "circular reference: LOOP"
+    assert got == {"${D0}": "depth exceeded", "a${NO:-${LOOP}}${D0}": circle, "${D0}${LOOP}": "depth exceeded", None: None}
+    assert ops.expand_templates(df.limit(0), "t", variables).count() == 0
 
 
 def test_masking(frame):
