@@ -2,7 +2,9 @@
 
 Each relation is one SELECT that both Spark and the SQL check can run, so a query
 and its check start from the same rows. `relation` gives it as a DataFrame,
-`with_relations` as a WITH clause. Every relation covers its whole table.
+`with_relations` as a WITH clause. Every relation covers its whole table: rows that must not
+meet the other side of a join get keys of their own and stay in. Only the two tables of `f4`, which have to
+differ, leave rows out.
 """
 
 from __future__ import annotations
@@ -82,8 +84,8 @@ define(
 )
 define(
     "installed_package",
-    """select l_suppkey as project, p_brand as package, concat(cast(p_size % 4 as varchar(9)), '.', cast(p_partkey % 40 as varchar(9)), '.0') as version
-    from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity > 40""",
+    """select l_suppkey as project, case when l_returnflag = 'R' and l_quantity > 40 then p_brand else concat('local-', cast(p_partkey % 100 as varchar(9))) end as package,
+    concat(cast(p_size % 4 as varchar(9)), '.', cast(p_partkey % 40 as varchar(9)), '.0') as version from lineitem join part on l_partkey = p_partkey""",
 )
 define(
     "dep_edge_dag",

@@ -55,7 +55,7 @@ define(
 )
 define(
     "code_file",
-    """select distinct concat(case when p_size % 2 = 0 then 'lib/' else 'local/' end, p_brand, '/', p_type, '.pm') as path from part where p_size > 10""",
+    """select distinct concat(case when p_size <= 10 then 'other/' when p_size % 2 = 0 then 'lib/' else 'local/' end, p_brand, '/', p_type, '.pm') as path from part""",
 )
 define(
     "code_symbol",
@@ -113,12 +113,13 @@ define(
 )
 define(
     "manifest_change",
-    """select o_custkey as project, concat('M', cast(o_orderkey % 60 as varchar(9))) as module, case when o_orderpriority = '5-LOW' then 'test' else 'runtime' end as phase,
-    concat('9.', cast(o_orderkey % 7 as varchar(9))) as version, o_orderkey as seq from orders where o_totalprice > 250000""",
+    """select o_custkey as project, concat(case when o_totalprice > 250000 then 'M' else 'N' end, cast(o_orderkey % 60 as varchar(9))) as module,
+    case when o_orderpriority = '5-LOW' then 'test' else 'runtime' end as phase, concat('9.', cast(o_orderkey % 7 as varchar(9))) as version, o_orderkey as seq from orders""",
 )
 define(
     "locked_install",
-    """select o_custkey as project, concat('M', cast(o_orderkey % 50 as varchar(9))) as module, max(concat('2.', cast(o_orderkey % 9 as varchar(9)))) as version from orders where o_totalprice > 100000 group by 1, 2""",
+    """select o_custkey as project, concat(case when o_totalprice > 100000 then 'M' else 'N' end, cast(o_orderkey % 50 as varchar(9))) as module,
+    max(concat('2.', cast(o_orderkey % 9 as varchar(9)))) as version from orders group by 1, 2""",
 )
 _LOG_LINES = (
     """case when event_type = 'signup' then concat('# Testing t/', cast(event_id % 9 as varchar(9)), '.t') when event_type = 'view' and event_id % 50 = 0 then '1..7'

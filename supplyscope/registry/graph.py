@@ -24,7 +24,7 @@ define(
 define("part_node", "select p_partkey as node from part")
 define("stated_requirement", "select package as module, requirer, concat(op, ' ', version) as constraint_text from requirement")
 define("tool_row", "select s_suppkey as tool, s_suppkey * 13 % 701 as main_module from supplier")
-define("tool_edge", "select distinct l_suppkey as tool, l_partkey % 900 as module from lineitem where l_quantity > 35")
+define("tool_edge", "select distinct l_suppkey as tool, case when l_quantity > 35 then l_partkey % 900 else -1 - l_partkey % 900 end as module from lineitem")
 define("module_row", "select p_partkey as module from part")
 define("tool_directory", "select c_custkey as tool from customer")
 define(

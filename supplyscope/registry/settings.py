@@ -43,7 +43,7 @@ define(
     union all select 'k5', false, 'string', '', null, null, 'version'""",
 )
 define("record_target", "select c_custkey as name, c_acctbal as url from customer")
-define("record_source", "select o_custkey as name, o_totalprice as url, o_orderkey as seq from orders where o_totalprice > 400000")
+define("record_source", "select case when o_totalprice > 400000 then o_custkey else -1 - o_custkey end as name, o_totalprice as url, o_orderkey as seq from orders")
 # "@" stands for "$" below, since Spark SQL replaces ${...} in statements by itself
 define(
     "template_row",
