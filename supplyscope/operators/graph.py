@@ -79,25 +79,26 @@ def flatten_dependencies(closure: DataFrame, constraint: str = "constraint", pha
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node, dependencies first; `leftover` nodes depend on a cycle.
 
-    Edges to unknown nodes are ignored. A round looks only at the nodes that depend on
-    what the round before settled.
+    Edges to unknown nodes are ignored. Every waiting node has a count of its open dependencies;
+    a round joins the edges to the nodes of the round before, takes the closed ones off the
+    counts, and places the nodes that have none left. Placed nodes leave the table of counts.
     """
     ids = settle(nodes.select("node").distinct())
     src, dst = ids.withColumnRenamed("node", "src"), ids.withColumnRenamed("node", "dst")
     needs = settle(edges.select("src", "dst").distinct().join(src, "src", "left_semi").join(dst, "dst", "left_semi"))
-    done = Stage(nodes.sparkSession)
-    ready = ids.join(needs.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    front = done.add(ready.withColumn("level", F.lit(0)))
+    waiting = settle(needs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open")))
+    placed = Stage(nodes.sparkSession)
+    front = placed.add(ids.join(waiting, "node", "left_anti").withColumn("level", F.lit(0)))
     level = 0
     while not front.isEmpty():
         level += 1
-        settled = done.all().select(F.col("node").alias("dst"))
-        touched = needs.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select("src").distinct()
-        waiting = needs.join(touched, "src", "left_semi").join(settled, "dst", "left_anti").select("src").distinct()
-        ready = keep_unseen(touched, waiting, ["src"]).select(F.col("src").alias("node"), F.lit(level).alias("level"))
-        front = done.add(ready)
-    placed = done.all()
-    return ids.join(placed, "node", "left").withColumn("leftover", F.col("level").isNull())
+        reached = needs.join(front.select(F.col("node").alias("dst")), "dst")
+        closed = reached.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("closed"))
+        counts = waiting.join(closed, "node", "left")
+        counts = settle(counts.select("node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        front = placed.add(counts.where("open = 0").select("node", F.lit(level).alias("level")))
+        waiting = counts.where("open > 0")
+    return ids.join(placed.all(), "node", "left").withColumn("leftover", F.col("level").isNull())
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -206,7 +207,11 @@ def constraints_compatible(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "")
 
 
-def _users_of_mains(tools: DataFrame, edges: DataFrame) -> DataFrame:
+def main_module_users(tools: DataFrame, edges: DataFrame) -> DataFrame:
+    """(main_module, tool): all tools that need the main module of some tool, or any other module.
+
+    The blockers of a tool are the rows of its main module other than its own.
+    """
     own = tools.select("main_module", "tool")
     used = edges.select(F.col("module").alias("main_module"), "tool")
     return own.unionByName(used).distinct()
@@ -217,9 +222,9 @@ def removal_blockers(tools: DataFrame, edges: DataFrame) -> DataFrame:
 
     A tool is blocked by the users of its main module other than itself. The number and the
     two smallest users are kept per module, so tools and users never meet as pairs;
-    `module_users` has the full lists.
+    `main_module_users` has the full lists.
     """
-    users = _users_of_mains(tools, edges)
+    users = main_module_users(tools, edges)
     counts = users.groupBy("main_module").agg(F.count(F.lit(1)).alias("n"))
     two = first_in_group(users, ["main_module"], ["tool"], 2)
     lowest = two.groupBy("main_module").agg(F.min("tool").alias("low"), F.max("tool").alias("next"))

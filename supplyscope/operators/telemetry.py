@@ -468,9 +468,6 @@ def apply_retention(
     return all_rows.withColumn("reason", reason).withColumn("keep", F.col("reason").isNull()).drop("__old", "__past")
 
 
-SESSION = r"\.backup-(-?\d+)-([^-]*)"
-
-
 def backup_files(names: DataFrame, name: str = "name") -> DataFrame:
     """Backup files with the session, operation and time that their names carry."""
     rest = F.split(F.col(name), r"\.backup-")[1]

@@ -193,6 +193,15 @@ def c7(spark, sf):
     return ops.removal_blockers(*_tools(spark, sf))
 
 
+@book.query(
+    "c7_module_blockers",
+    ("tool_row", "tool_edge"),
+    "select main_module, tool from tool_row union select module, tool from tool_edge",
+)
+def c7_all(spark, sf):
+    return ops.main_module_users(*_tools(spark, sf))
+
+
 @book.query(
     "c8_orphaned_modules",
     ("module_row", "tool_row", "tool_edge"),

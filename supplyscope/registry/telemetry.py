@@ -449,6 +449,17 @@ def e20(spark, sf):
     return df.withColumn("epoch", F.unix_seconds("ts")).drop("ts")
 
 
+@book.query(
+    "e20_backup_files",
+    ("backup_row",),
+    """select project, name, regexp_extract(name, '\\.backup-(\\d+-[^-]*)', 1) as session, regexp_extract(name, '\\.backup-\\d+-([^-]*)', 1) as op,
+    regexp_extract(name, '\\.backup-(\\d+)', 1)::bigint as epoch from backup_row where contains(name, '.backup-')""",
+)
+def e20_files(spark, sf):
+    df = ops.backup_files(relation(spark, sf, "backup_row"))
+    return df.select("project", "name", "session", "op", F.unix_seconds("ts").alias("epoch"))
+
+
 @book.query(
     "e20_latest_session",
     ("backup_row",),
