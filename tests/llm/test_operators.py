@@ -319,6 +319,33 @@ def test_compact_windows_are_the_wide_nodes():
             assert [v for l, r, v in got if l <= i and i + length - 1 <= r] == [min(h[i : i + length])]
 
 
+@pytest.mark.parametrize("n,edits", [(50, 1), (54, 1), (60, 1), (87, 1), (90, 1), (96, 2), (130, 2)])
+def test_passages_with_edits_at_each_place(n, edits):
+    """One and two changed words at every place (two: every third), next to other words on both sides."""
+    words, length = some_words(n, n).split(), substrings.LENGTH
+    around = [some_words(900 + k, 40) for k in range(4)]
+    cut = lambda k, w: substrings.shingles(f"{around[k]} {' '.join(w)} {around[k + 1]}".encode())
+    a = cut(0, words)
+    places = [(p,) for p in range(n)] if edits == 1 else [(p, q) for p in range(0, n, 3) for q in range(p + 1, n, 3)]
+    kept = 0
+    for at in places:
+        b = cut(2, ["zz" if k in at else w for k, w in enumerate(words)])
+        hit = (a[40 : 40 + n - 4] == b[40 : 40 + n - 4]).astype(int)
+        total, best = np.concatenate([[0], np.cumsum(hit)]), 0
+        for s in range(n - 4):
+            for e in range(s + length, n - 3):
+                h = total[e] - total[s]
+                if h >= 0.8 * (2 * (e - s) - h) and (hit[s] and hit[e - 1] or e - s == length):
+                    best = max(best, e - s)
+        got = substrings.passages(a, b)
+        assert max([e - s for s, e, _, _ in got], default=0) >= best, at
+        for s, e, x, y in got:
+            one, two = set(a[s:e].tolist()), set(b[x:y].tolist())
+            assert min(e - s, y - x) >= length and len(one & two) >= 0.8 * len(one | two)
+        kept += best > 0
+    assert kept
+
+
 def test_repeated_passages(spark, odd, nothing):
     shared, twice = some_words(77, 60), some_words(78, 90)
     rows = [(k, some_words(k + 1000, 150)) for k in range(40)]
