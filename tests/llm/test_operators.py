@@ -363,6 +363,21 @@ def test_repeated_passages(spark, odd, nothing):
     assert odd_classes == {4: 4, 5: 4, 6: 6, 7: 6} and substrings.repeated_passages(nothing).count() == 0
 
 
+def test_spans_of_a_hot_document_are_cut_in_chunks(spark):
+    """One document in 3,000 pairs with other partners, over 500 spans: no list holds all, each span is cut once."""
+    text = some_words(31, 900)
+    tokens = substrings.shingles(text.encode())
+    rows = [((1, k), 1, k % 500, k % 500 + 60) for k in range(3000)] + [((5, 9), 5, 0, 50)]
+    sides = spark.createDataFrame(rows, "pair struct<a:long,b:long>, id long, low int, high int")
+    lists = substrings.span_chunks(sides, 50).collect()
+    assert max(len(r["wanted"]) for r in lists) <= 100 and sum(len(r["wanted"]) for r in lists) == 501
+    texts = spark.createDataFrame([(1, text.encode()), (5, text.encode()), (6, b"x")], "id long, text binary")
+    got = substrings.cut_spans(texts, sides, 50).collect()
+    assert len(got) == 501 and {(r["id"], r["low"]) for r in got} == {(1, k) for k in range(500)} | {(5, 0)}
+    for r in got:
+        assert (substrings.blobs.get(bytes(r["tokens"]))[0] == tokens[r["low"] : r["high"] + 1]).all()
+
+
 def test_digests_match_plain_python(spark):
     from supplyscope.llm.queries import QUERIES
 
