@@ -1,7 +1,8 @@
 r"""Personal data: four patterns, and a semi-Markov conditional random field.
 
 The field reads the stretches of a text that hold a digit, an at-sign or a spelled-out one. A stretch
-is cut into tokens; every span of at most `LONGEST` tokens is a candidate for each type. Features are
+is cut into tokens; every span of at most `LONGEST` tokens, and every whole spelled-out address of any
+length, is a candidate for each type. Features are
 those of a whole span (shape, number of digits, check sum, domain, borders, word before it), so
 borders and types are chosen together by dynamic programming over (end of span, type). What the
 patterns find stays; spans of the field that touch none of it are added.
@@ -101,18 +102,32 @@ def span_features(s: str, before: str, after: str) -> list[int]:
     return on + [k for k, yes in holds if yes]
 
 
+def spelled_ends(stretch: str, borders: list[int]) -> dict[int, int]:
+    """For each token that starts a spelled-out address, the token place where the longest one ends."""
+    if "(at" not in stretch and "[at" not in stretch:
+        return {}
+    place = {b: k for k, b in enumerate(borders)}
+    found = ((i, _SPELLED.match(stretch, b)) for i, b in enumerate(borders[:-1]))
+    return {i: place[m.start() + len(m[0].rstrip("-"))] for i, m in found if m}
+
+
 def candidates(stretch: str, before: str = "", after: str = "") -> tuple[list[int], list[tuple[int, int]], list[list[int]]]:
     """Token borders of a stretch, its candidate spans (token places), and their features."""
     borders = [m.start() for m in _TOKEN.finditer(stretch)] + [len(stretch)]
     spans, rows, n = [], [], len(borders) - 1
+    whole = spelled_ends(stretch, borders)
     for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
+        ends = [*range(i + 1, min(n, i + LONGEST) + 1)]
+        if whole.get(i, 0) > i + LONGEST:
+            ends.append(whole[i])
+        for j in ends:
             a, b = borders[i], borders[j]
             s = stretch[a:b]
             if s[0].isalnum() or s[0] in "+(":
                 if s[-1].isalnum():
+                    held = span_features(s, before + stretch[:a][-20:], stretch[b : b + 1] or after)
                     spans.append((i, j))
-                    rows.append(span_features(s, before + stretch[:a][-20:], stretch[b : b + 1] or after))
+                    rows.append([k for k in held if k != 2 or whole.get(i) == j])  # a piece of an address is none
     return borders, spans, rows
 
 
@@ -198,7 +213,7 @@ def train(docs: DataFrame, text_col: str, limit: int = TRAIN_STRETCHES) -> np.nd
                 clash = any(x[1] > y[0] for x, y in zip(own, own[1:]))
                 if own and not clash and len(m[0]) <= 120:
                     out.append((m[0], [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in own]))
-            return out[:2]
+            return out
 
         return of
 

@@ -166,6 +166,26 @@ def test_personal_data():
     assert any(k == 0 and "jo (at) mail" in text[a:b] for k, a, b in added)
 
 
+@pytest.mark.parametrize("address", [
+    "jo (at) mail (dot) org", "jane (at) mail (dot) example (dot) com", "jane.doe (at) mail (dot) example (dot) co (dot) uk",
+    "a.b.c.d.e.f.g.h.i [at] x [dot] y [dot] z [dot] example [dot] co [dot] uk", "jane(at)mail.example(dot)com",
+])
+def test_spelled_addresses_are_whole(address):
+    text = f"write to {address} or call"
+    _, added = pii.tagger(pii.fit([]))(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [("email", address)]
+    _, labels = pii._variants("jane.doe@a.b.mail.example.co.uk", 0, 0, 31)
+    assert labels[0][2] > 40
+
+
+def test_training_reads_all_stretches_of_a_text(spark, monkeypatch):
+    text = "\n".join(f"w mail{k}@host{k}.org w" for k in range(7))
+    seen = []
+    monkeypatch.setattr(pii, "fit", seen.extend)
+    pii.train(spark.createDataFrame([(text,)], "text string"), "text")
+    assert len([x for x in seen if "@" in x[0]]) == 7
+
+
 def test_spans_are_the_best_of_all_choices():
     rng = np.random.default_rng(8)
     for _ in range(30):
