@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from supplyscope.llm import chat, decontaminate, kneser_ney, packing, pii, pitman_yor, quality_rules, secret_scan, simhash, spelling, substrings
+from supplyscope.llm import chat, decontaminate, kneser_ney, packing, pii, pitman_yor, quality_rules, secret_scan, simhash, spelling, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_spelling": spelling.op13_spelling,
 }
 ORACLE = {"op3_decontaminate": decontaminate.ORACLE}
