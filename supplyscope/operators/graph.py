@@ -8,10 +8,12 @@ the list of those tables. Nothing but the number of new rows comes to the driver
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from supplyscope.plans.doubling import follow
 from supplyscope.plans.ordered import first_in_group
 from supplyscope.plans.shared import Stage, settle
 from supplyscope.plans.skew import keep_unseen
@@ -76,102 +78,184 @@ def flatten_dependencies(closure: DataFrame, constraint: str = "constraint", pha
     return closure.where(F.col("depth") > 0).select("root", "pkg", "depth", F.concat(with_constraint, in_phase).alias("label"))
 
 
+def _run_links(edges: DataFrame) -> DataFrame:
+    """(node, next, to, weight): nodes with one way in and one way out; `next` is set where that leads to another such node."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("to"), F.min("weight").alias("weight"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    single = out.join(into, "node").where((F.col("n_out") == 1) & (F.col("n_in") == 1) & (F.col("to") != F.col("node")))
+    run = settle(single.select("node", "to", "weight"))
+    return run.join(run.select(F.col("node").alias("next")), F.col("to") == F.col("next"), "left").select("node", "next", "to", "weight")
+
+
+@dataclass
+class _Runs:
+    """One contraction: `nodes` (node, tail, steps, last), `bridges` (head, last, tail), `circles` (node, least)."""
+
+    nodes: DataFrame
+    bridges: DataFrame
+    circles: DataFrame
+
+
+def contract_runs(edges: DataFrame) -> tuple[DataFrame, list[_Runs]]:
+    """Runs of nodes with one way in and one way out become single edges, until there are none longer than a node.
+
+    `edges` are distinct (src, dst) pairs. The result's edges (src, dst, weight) have the length of the longest run between their ends;
+    a run of any length takes the logarithm of its length in rounds. Circles without any other edge go whole.
+    """
+    edges, done = settle(edges.withColumn("weight", F.lit(1))), []
+    while True:
+        stage = Stage(edges.sparkSession)
+        links, seen = stage.add_counted(_run_links(edges), linked=F.count("next"))
+        if not seen["linked"]:
+            return edges, done
+        start = links.select("node", "next", F.col("weight").alias("steps"), F.col("to").alias("tail"), F.col("node").alias("last"), F.col("node").alias("least"))
+        ended, circling = follow(
+            start,
+            {
+                "steps": lambda a, b: a["steps"] + b["steps"],
+                "tail": lambda a, b: b["tail"],
+                "last": lambda a, b: b["last"],
+                "least": lambda a, b: F.least(a["least"], b["least"]),
+            },
+        )
+        ends = ended.select(F.col("node").alias("dst"), "tail", "steps", "last")
+        outside = edges.join(links.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "dst", "left")
+        length = F.col("weight") + F.coalesce("steps", F.lit(0))
+        passed = settle(outside.select("src", F.coalesce("tail", "dst").alias("dst"), length.alias("weight"), "last"))
+        bridges = passed.where(F.col("last").isNotNull()).select(F.col("src").alias("head"), "last", F.col("dst").alias("tail"))
+        done.append(_Runs(ended.select("node", "tail", "steps", "last"), bridges, circling.select("node", "least")))
+        edges = settle(passed.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+
+
+def _place(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): `starts` at 0, then every node of `edges` (src, dst, weight) all of whose dst are placed, by its longest way.
+
+    Each edge knows how many edges leave its src. A round counts the edges that the nodes of the round before close,
+    together with the counts of nodes that are closed in part, in one job: nodes not yet reached are not touched.
+    """
+    counts = edges.groupBy("src").agg(F.count(F.lit(1)).alias("needs"))
+    known = settle(edges.join(counts, "src"))
+    states = Stage(edges.sparkSession)
+    first = starts.select("node", F.lit(0).cast("long").alias("closed"), F.lit(0).cast("long").alias("needs"), F.lit(0).alias("level"))
+    state, seen = states.add_counted(first, placed=F.count(F.lit(1)))
+    while seen["placed"]:
+        front = state.where("closed = needs").select(F.col("node").alias("dst"), "level")
+        reached = known.join(front, "dst").select(F.col("src").alias("node"), F.lit(1).cast("long").alias("closed"), "needs", (F.col("level") + F.col("weight")).cast("int").alias("level"))
+        waiting = state.where("closed < needs").unionByName(reached)
+        merged = waiting.groupBy("node").agg(F.sum("closed").alias("closed"), F.max("needs").alias("needs"), F.max("level").alias("level"))
+        state, seen = states.add_counted(merged, placed=F.count_if(F.expr("closed = needs")))
+    return states.all().where("closed = needs").select("node", "level")
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node, dependencies first; `leftover` nodes depend on a cycle.
 
-    Edges to unknown nodes are ignored. Every waiting node has a count of its open dependencies;
-    a round joins the edges to the nodes of the round before, takes the closed ones off the
-    counts, and places the nodes that have none left. Placed nodes leave the table of counts.
+    Edges to unknown nodes are ignored. Runs of nodes with one dependency and one user are contracted to one edge of their
+    length, the rest is placed level by level, and the nodes of a run follow from the level at its end.
     """
     ids = settle(nodes.select("node").distinct())
     src, dst = ids.withColumnRenamed("node", "src"), ids.withColumnRenamed("node", "dst")
-    needs = settle(edges.select("src", "dst").distinct().join(src, "src", "left_semi").join(dst, "dst", "left_semi"))
-    waiting = settle(needs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open")))
-    placed = Stage(nodes.sparkSession)
-    front = placed.add(ids.join(waiting, "node", "left_anti").withColumn("level", F.lit(0)))
-    level = 0
-    while not front.isEmpty():
-        level += 1
-        reached = needs.join(front.select(F.col("node").alias("dst")), "dst")
-        closed = reached.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("closed"))
-        counts = waiting.join(closed, "node", "left")
-        counts = settle(counts.select("node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
-        front = placed.add(counts.where("open = 0").select("node", F.lit(level).alias("level")))
-        waiting = counts.where("open > 0")
-    return ids.join(placed.all(), "node", "left").withColumn("leftover", F.col("level").isNull())
-
-
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges left after taking away, again and again, nodes without way in or way out."""
-    before = edges.count()
-    while True:
-        ends = edges.select(F.col("dst").alias("src")).distinct()
-        begins = edges.select(F.col("src").alias("dst")).distinct()
-        edges = settle(edges.join(ends, "src", "left_semi").join(begins, "dst", "left_semi"))
-        after = edges.count()
-        if after == before or after == 0:
-            return edges
-        before = after
-
-
-def _spread_least(edges: DataFrame) -> DataFrame:
-    """(node, color): the smallest node from which the node can be reached."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    state = settle(nodes.withColumn("color", F.col("node")))
-    front = state
-    while not front.isEmpty():
-        offers = (
-            edges.join(front.select(F.col("node").alias("src"), "color"), "src")
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("color").alias("offer"))
-        )
-        better = settle(
-            offers.join(state, "node").where(F.col("offer") < F.col("color")).select("node", F.col("offer").alias("color"))
-        )
-        if better.isEmpty():
-            return state
-        kept = state.join(better.select("node"), "node", "left_anti")
-        state = settle(kept.unionByName(better))
-        front = better
-    return state
+    needs = edges.select("src", "dst").distinct().join(src, "src", "left_semi").join(dst, "dst", "left_semi")
+    core, runs = contract_runs(needs)
+    free = ids.join(core.select(F.col("src").alias("node")), "node", "left_anti")
+    for r in runs:
+        free = free.join(r.nodes.select("node").union(r.circles.select("node")), "node", "left_anti")
+    levels = _place(free, core)
+    for r in reversed(runs):
+        below = settle(levels).withColumnsRenamed({"node": "tail", "level": "below"})
+        inside = r.nodes.join(below, "tail").select("node", (F.col("below") + F.col("steps")).cast("int").alias("level"))
+        levels = levels.unionByName(inside)
+    return ids.join(levels, "node", "left").withColumn("leftover", F.col("level").isNull())
+
+
+def _spread_least(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, color): the least (mark, node) from which the node can be reached along `edges`.
+
+    `nodes` has (node, mark). A round follows the edges of the rows that changed, and every changed row also takes the color of
+    its color's node, from which it can be reached as well: ways get twice as long in a round.
+    """
+    states = Stage(nodes.sparkSession)
+    own = F.struct("mark", "node")
+    state, seen = states.add_counted(nodes.select("node", own.alias("color"), F.lit(True).alias("fresh")), fresh=F.count(F.lit(1)))
+    while seen["fresh"]:
+        front = state.where("fresh").select(F.col("node").alias("src"), "color")
+        offers = edges.join(front, "src").select(F.col("dst").alias("node"), F.lit(None).cast(state.schema["color"].dataType).alias("old"), "color")
+        both = state.select("node", F.col("color").alias("old"), "color").unionByName(offers)
+        least = both.groupBy("node").agg(F.max("old").alias("old"), F.min("color").alias("color"))
+        ahead = state.select(F.col("node").alias("__node"), F.col("color").alias("__color"))
+        jumped = least.join(ahead, F.col("color.node") == F.col("__node")).select("node", "old", F.least("color", "__color").alias("color"))
+        state, seen = states.add_counted(jumped.select("node", "color", (F.col("color") < F.col("old")).alias("fresh")), fresh=F.count_if("fresh"))
+    return state.select("node", "color")
+
+
+def _sets_of_core(edges: DataFrame) -> DataFrame:
+    """(node, set): nodes that reach each other along `edges` (src, dst), without single nodes that have no edge to themselves.
+
+    Every node takes the least node, by a random mark, that reaches it; among the nodes of one color it then takes the least that it
+    reaches. The nodes where both are the same node form a set. Edges between nodes that differ in either are in no set and go, found
+    nodes too, and the rest is colored again: with random marks a way through many sets falls apart in a logarithm of rounds.
+    """
+    found = Stage(edges.sparkSession)
+    rest = edges.select("src", "dst")
+    found.add(rest.select(F.col("src").alias("node"), F.col("src").alias("set")).limit(0))
+    looped = settle(rest.where("src = dst").select(F.col("src").alias("node")).distinct())
+    rest = settle(rest.where("src <> dst"))
+    found.add(looped.select("node", F.col("node").alias("set")))
+
+    def same(rows: DataFrame, colors: DataFrame) -> DataFrame:
+        """The edges whose ends have one color."""
+        a = colors.select(F.col("node").alias("src"), F.col("color").alias("__a"))
+        b = colors.select(F.col("node").alias("dst"), F.col("color").alias("__b"))
+        return rows.join(a, "src").join(b, "dst").where("__a = __b").select("src", "dst")
+
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+        marked = settle(nodes.withColumn("mark", F.xxhash64("node")))
+        down = _spread_least(marked, rest)
+        inside = settle(same(rest, down))
+        up = _spread_least(marked, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        known = settle(down.withColumnRenamed("color", "down").join(up.withColumnRenamed("color", "up"), "node"))
+        closed = known.where("down = up").select("node", F.col("down.node").alias("set"))
+        many = closed.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set")
+        found.add(closed.join(many, "set", "left_semi").select("node", "set"))
+        open_rows = known.where("down <> up").select("node", F.struct("down", "up").alias("color"))
+        rest = settle(same(inside, open_rows))
+    # a node with an edge to itself may be in a larger set as well
+    return found.all().groupBy("node").agg(F.max_by("set", F.col("set") != F.col("node")).alias("set"))
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges (src, dst, weight) with no end among the nodes `gone`."""
+    left = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
+    return settle(left.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
+
+
+def _ends(edges: DataFrame, side: str, other: str) -> DataFrame:
+    """Nodes that are a `side` of some edge and an `other` of none."""
+    return edges.select(F.col(side).alias("node")).distinct().join(edges.select(F.col(other).alias("node")), "node", "left_anti")
 
 
 def detect_cycles(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle: (node, cycle_id, cycle_len).
 
     Nodes are on a cycle together if each reaches the other; `cycle_id` is the smallest
-    node of such a set and `cycle_len` its size. Sets are found by coloring: every node
-    takes the smallest node that reaches it, and the nodes of that color that reach back
-    to it form its set. Found sets are taken away and the rest is colored again. Rows
-    stay linear in nodes and edges: no table of reachable pairs is made.
+    node of such a set and `cycle_len` its size. Runs of nodes with one way in and one way out are contracted, nodes that reach no cycle
+    or are reached by none are taken off by counts of their edges, and the sets of the rest are found by coloring in both directions.
+    A node of a run is on a cycle if both ends of the run are in one set. No table of reachable pairs is made.
     """
-    spark = edges.sparkSession
-    found = Stage(spark)
-    rest = _trim(settle(edges.select("src", "dst").distinct()))
-    kind = rest.schema["src"].dataType
-    found.add(rest.select(F.col("src").alias("node"), F.col("src").alias("cycle_id")).limit(0))
-    while not rest.isEmpty():
-        color = _spread_least(rest)
-        from_color = color.select(F.col("node").alias("src"), F.col("color").alias("a"))
-        to_color = color.select(F.col("node").alias("dst"), F.col("color").alias("b"))
-        same = settle(rest.join(from_color, "src").join(to_color, "dst").where("a = b").select("src", "dst", F.col("a").alias("color")))
-        back = Stage(spark)
-        front = back.add(color.where(F.col("node") == F.col("color")).select("node", F.col("color").alias("cycle_id")))
-        while not front.isEmpty():
-            seen = front.select(F.col("node").alias("dst"), F.col("cycle_id").alias("color"))
-            fresh = same.join(seen, ["dst", "color"]).select(F.col("src").alias("node"), F.col("color").alias("cycle_id")).distinct()
-            front = back.add(keep_unseen(fresh, back.all(), ["node"]))
-        sets = back.all()
-        sizes = sets.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"))
-        own_loops = rest.where("src = dst").select(F.col("src").alias("cycle_id")).distinct().withColumn("loop", F.lit(True))
-        real = sizes.join(own_loops, "cycle_id", "left").where((F.col("n") > 1) | F.col("loop"))
-        found.add(sets.join(real.select("cycle_id"), "cycle_id", "left_semi").select("node", F.col("cycle_id").cast(kind)))
-        gone = sets.select("node")
-        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-        rest = _trim(settle(rest.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")))
-    members = found.all()
-    lengths = members.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("cycle_len"))
-    return members.join(lengths, "cycle_id").select("node", "cycle_id", "cycle_len")
+    core, runs = contract_runs(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
+    core = _without(core, _place(_ends(core, "dst", "src"), core))
+    turned = core.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    core = _without(core, _place(_ends(core, "src", "dst"), turned))
+    sets = settle(_sets_of_core(core))
+    for r in reversed(runs):
+        a = sets.select(F.col("node").alias("head"), "set")
+        b = sets.select(F.col("node").alias("tail"), F.col("set").alias("__set"))
+        closed = r.bridges.join(a, "head").join(b, "tail").where(F.col("set") == F.col("__set")).select("last", "set")
+        inside = r.nodes.join(closed, "last").select("node", "set")
+        sets = settle(sets.unionByName(inside).unionByName(r.circles.select("node", F.col("least").alias("set"))))
+    named = sets.groupBy("set").agg(F.min("node").alias("cycle_id"), F.count(F.lit(1)).alias("cycle_len"))
+    return sets.join(named, "set").select("node", "cycle_id", "cycle_len")
 
 
 def module_users(edges: DataFrame) -> DataFrame:

@@ -104,6 +104,28 @@ def running_sum(
     return joined.withColumn(out, total_so_far).drop("__start", "__v", _SLICE)
 
 
+def greatest_before(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    value: Column,
+    out: str,
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Greatest `value` of the rows before the row in its group, null on the first."""
+    cols = _columns(order)
+    largest, total = group_sizes(df, group)
+    before = (Window.unboundedPreceding, -1)
+    if largest <= max_rows:
+        return df.withColumn(out, F.max(value).over(Window.partitionBy(*group).orderBy(*cols).rowsBetween(*before)))
+    cut = _sliced(df.withColumn("__v", value), group, cols, total, max_rows)
+    tops = cut.groupBy(*group, _SLICE).agg(F.max("__v").alias("__n"))
+    start = tops.withColumn("__start", F.max("__n").over(_before(group))).drop("__n")
+    here = Window.partitionBy(*group, _SLICE).orderBy(*cols).rowsBetween(*before)
+    joined = _join_slices(cut.withColumn(out, F.max("__v").over(here)), start, group)
+    return joined.withColumn(out, F.greatest(out, "__start")).drop("__start", "__v", _SLICE)
+
+
 def carry_forward(
     df: DataFrame,
     group: Sequence[str],

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -44,6 +44,12 @@ class Stage:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def add_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """`add`, and aggregates of the rows taken while they are written, without a second job."""
+        seen = Observation()
+        rows = self.add(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+        return rows, seen.get
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 

@@ -101,3 +101,67 @@ def test_conflicts_blockers_orphans(frame):
     assert got == {"t1": (False, 2, "t2"), "t2": (True, 0, None), "t3": (False, 2, "t1")}
     installed = frame("module string", ("A",), ("B",), ("X",), ("lost",))
     assert [r.module for r in ops.orphaned_modules(installed, tools, edges).collect()] == ["lost"]
+
+
+def scanned_tables(monkeypatch):
+    """Counts the tables that are written between steps."""
+    from supplyscope.plans import shared
+
+    written, add = [], shared.Stage.add
+
+    def counted(self, df):
+        written.append(1)
+        return add(self, df)
+
+    monkeypatch.setattr(shared.Stage, "add", counted)
+    return written
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, written = 2000, scanned_tables(monkeypatch)
+    order = [(k * 7919) % n for k in range(n)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])) + [(order[0], order[5]), (order[3], order[1000])], "src long, dst long")
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "node long")
+    got = {r.node: r.level for r in ops.topological_levels(nodes, edges).collect()}
+    assert got == {v: n - 1 - k for k, v in enumerate(order)}
+    assert len(written) < 60
+
+
+def test_long_cycle_takes_few_rounds(spark, monkeypatch):
+    n, written = 2000, scanned_tables(monkeypatch)
+    ring = [(k, (k + 1) % n) for k in range(n)]
+    got = ops.detect_cycles(spark.createDataFrame(ring, "src long, dst long")).collect()
+    assert {(r.cycle_id, r.cycle_len) for r in got} == {(0, n)} and len(got) == n
+    # a second ring on the first, a way in and a way out
+    more = ring + [(k, k + 3000) for k in range(0, n, 2)] + [(k + 3000, (k + 2) % n) for k in range(0, n, 2)] + [(9000, 9001), (9001, 5), (7, 9002), (9002, 9003)]
+    got = ops.detect_cycles(spark.createDataFrame(more, "src long, dst long")).collect()
+    assert {(r.cycle_id, r.cycle_len) for r in got} == {(0, n + n // 2)} and len(got) == n + n // 2
+    assert len(written) < 120
+
+
+def test_sets_and_levels_of_random_graphs(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        n = 60
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range((40, 60, 80, 120)[seed])}
+        pairs |= {(k, k + 1) for k in range(100, 130)} | {(130, rng.randrange(n)), (rng.randrange(n), 100)}
+        nodes = sorted({v for p in pairs for v in p})
+        reach = {v: {d for s, d in pairs if s == v} for v in nodes}
+        for _ in nodes:
+            for v in nodes:
+                reach[v] = reach[v].union(*(reach[d] for d in reach[v]))
+        want = {v: frozenset(m for m in nodes if m in reach[v] and v in reach[m]) for v in nodes if v in reach[v]}
+        edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+        got = {r.node: (r.cycle_id, r.cycle_len) for r in ops.detect_cycles(edges).collect()}
+        assert got == {v: (min(s), len(s)) for v, s in want.items()}
+
+        def level(v, seen={}):
+            key = (seed, v)
+            if key not in seen:
+                seen[key] = None if v in want or any(d in want for d in reach[v]) else max((1 + level(d) for s, d in pairs if s == v), default=0)
+            return seen[key]
+
+        table = spark.createDataFrame([(v,) for v in nodes], "node long")
+        assert {r.node: r.level for r in ops.topological_levels(table, edges).collect()} == {v: level(v) for v in nodes}
