@@ -83,7 +83,7 @@ def _run_links(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("to"), F.min("weight").alias("weight"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
     single = out.join(into, "node").where((F.col("n_out") == 1) & (F.col("n_in") == 1) & (F.col("to") != F.col("node")))
-    run = settle(single.select("node", "to", "weight"))
+    run = single.select("node", "to", "weight")
     return run.join(run.select(F.col("node").alias("next")), F.col("to") == F.col("next"), "left").select("node", "next", "to", "weight")
 
 

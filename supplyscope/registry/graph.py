@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from supplyscope.adapters import define, relation
 from supplyscope.operators import graph as ops
+from supplyscope.operators import reachability as reach
+from supplyscope.plans.shared import shared_folder
 from supplyscope.registry.base import Book
 
 book = Book()
@@ -70,25 +74,107 @@ def c1_depth(spark, sf):
 
 @book.query("c2_flatten_dependencies")
 def c2(spark, sf):
-    edges = _edges(spark, sf, "labelled_edge").withColumnRenamed("constraint_text", "constraint")
-    closure = ops.transitive_closure(edges, phases=["runtime", "build"], labels=["constraint", "phase"])
-    return ops.flatten_dependencies(closure)
+    return _flat(spark, sf)
 
 
-def flat_check() -> str:
+def flat_check(roots: str = "") -> str:
     from supplyscope.adapters import with_relations
 
-    walk = """u as (select * from labelled_edge where phase in ('runtime', 'build')),
-    w(root, pkg, depth) as (select distinct src, src, 0 from u union select w.root, e.dst, w.depth + 1 from w join u e on e.src = w.pkg),
+    starts = f"select root, root, 0 from {roots}" if roots else "select distinct src, src, 0 from u"
+    walk = f"""u as (select * from labelled_edge where phase in ('runtime', 'build')),
+    w(root, pkg, depth) as ({starts} union select w.root, e.dst, w.depth + 1 from w join u e on e.src = w.pkg),
     d as (select root, pkg, min(depth) as depth from w group by root, pkg),
     l as (select d.root, d.pkg, d.depth, min((e.constraint_text, e.phase)) as k from d join d p on p.root = d.root and p.depth = d.depth - 1 join u e on e.src = p.pkg and e.dst = d.pkg group by all)
     select root, pkg, depth::int as depth, concat(pkg, case when k[1] = '' then '' else concat(' (', k[1], ')') end, case when k[2] = 'runtime' then '' else concat(' [', k[2], ']') end) as label from l"""
-    return recursive(with_relations("labelled_edge").strip(), walk)
+    return recursive(with_relations("labelled_edge", *([roots] if roots else [])).strip(), walk)
 
 
 book.oracle["c2_flatten_dependencies"] = flat_check()
 
 
+define("root_tool", "select distinct main_module as root from tool_row")
+define("asked_pair", "select distinct l_partkey as src, l_suppkey as dst from lineitem")
+
+# a node's parent is the smallest that needs it; its path from the top, compared as a list, gives its place
+PLACES = """e as (select distinct src, dst from dep_edge_dag where src <> dst), n as (select src as node from e union select dst from e),
+    p as (select n.node, min(e.src) as up from n left join e on e.dst = n.node group by n.node),
+    t(node, path) as (select node, [node] from p where up is null union all select p.node, list_append(t.path, p.node) from t join p on p.up = t.node),
+    c(node, above) as (select node, node from p union all select c.node, p.up from c join p on p.node = c.above where p.up is not null),
+    z as (select above as node, count(*) as size from c group by above),
+    o as (select node, row_number() over (order by path) - 1 as pre from t)
+    select o.node, p.up, o.pre, o.pre + z.size - 1 as "end" from o join z using (node) join p using (node)"""
+
+
+def index_check() -> str:
+    from supplyscope.adapters import with_relations
+
+    return recursive(with_relations("dep_edge_dag").strip(), PLACES)
+
+
+book.oracle["c1_reachability_index"] = index_check()
+
+
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, sf, name="dep_edge_dag"):
+    """The stored index of an edge relation: built once for a session, then read."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        reach.build_index(_edges(spark, sf, name)).write(path)
+        _indexes[key] = path
+    return reach.ReachIndex.read(spark, _indexes[key])
+
+
+@book.query("c1_reachability_index")
+def c1_index(spark, sf):
+    index = _index(spark, sf)
+    return index.members.join(index.places, "place").select("node", "up", "pre", "end")
+
+
+def reach_check(edges: str, roots: str, last: str) -> str:
+    from supplyscope.adapters import with_relations
+
+    walk = f"""w(root, pkg) as (select root, root from ({roots}) union select w.root, e.dst from w join {edges} e on e.src = w.pkg)"""
+    return recursive(with_relations(edges, "root_tool", "asked_pair").strip(), f"{walk} {last}")
+
+
+ASKED = "select a.src, a.dst, w.root is not null as reaches from asked_pair a left join w on w.root = a.src and w.pkg = a.dst"
+book.oracle["c1_closure_of_tools"] = reach_check("dep_edge_dag", "select root from root_tool", "select root, pkg from w")
+book.oracle["c1_reaches"] = reach_check("dep_edge_dag", "select src as root from asked_pair", ASKED)
+book.oracle["c1_reaches_with_cycles"] = reach_check("cyclic_edge", "select src as root from asked_pair", ASKED)
+
+
+@book.query("c1_closure_of_tools")
+def c1_tools(spark, sf):
+    return reach.closure(_index(spark, sf), relation(spark, sf, "root_tool"))
+
+
+@book.query("c1_reaches")
+def c1_reaches(spark, sf):
+    return reach.reaches(_index(spark, sf), relation(spark, sf, "asked_pair"))
+
+
+@book.query("c1_reaches_with_cycles")
+def c1_reaches_cyclic(spark, sf):
+    return reach.reaches(_index(spark, sf, "cyclic_edge"), relation(spark, sf, "asked_pair"))
+
+
+def _flat(spark, sf, roots=None):
+    edges = _edges(spark, sf, "labelled_edge").withColumnRenamed("constraint_text", "constraint")
+    closure = ops.transitive_closure(edges, roots, phases=["runtime", "build"], labels=["constraint", "phase"])
+    return ops.flatten_dependencies(closure)
+
+
+book.oracle["c2_flatten_tools"] = flat_check("root_tool")
+
+
+@book.query("c2_flatten_tools")
+def c2_tools(spark, sf):
+    return _flat(spark, sf, relation(spark, sf, "root_tool"))
+
+
 def level_check() -> str:
     from supplyscope.adapters import with_relations
 
