@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import combinations, groupby
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from supplyscope.functions.facts import CORE_PACKAGES, DISTRIBUTION_PREFIXES, PRAGMAS
 from supplyscope.operators.versions import newest_row
 from supplyscope.plans.ordered import first_in_group
+from supplyscope.plans.shared import settle
 
 # the parts of an index document that the operators read
 DOCUMENT = """
@@ -196,70 +200,67 @@ def resolve_names(
     Names without an answer come out with nulls.
     """
     asked = names.select("name").where(F.col("name") != "").distinct()
-
-    def one(table: DataFrame, source: str) -> DataFrame:
-        return table.groupBy("name").agg(F.min("module").alias("module")).withColumn("source", F.lit(source))
-
-    latest = executables.where(F.col("status") == "latest").select("name", "module")
-    maps = [one(config_map, "config"), one(builtin_map, "builtin"), one(latest, "executable")]
+    latest = executables.where(F.col("status") == "latest")
+    tiers = [(config_map, "config"), (builtin_map, "builtin"), (latest, "executable")]
+    given = [
+        t.where(F.col("module").isNotNull()).select("name", F.struct(F.lit(k).alias("tier"), "module", F.lit(source).alias("source")).alias("answer"))
+        for k, (t, source) in enumerate(tiers)
+    ]
+    best = reduce(DataFrame.unionByName, given).groupBy("name").agg(F.min("answer").alias("answer"))
     explicit = looks_explicit(F.col("name"))
-    state = asked.withColumn("module", F.when(explicit, F.col("name"))).withColumn(
-        "source", F.when(explicit, F.lit("explicit"))
-    )
-    for table in maps:
-        found = table.withColumnsRenamed({"module": "__m", "source": "__s"})
-        state = state.join(found, "name", "left").select(
-            "name", F.coalesce("module", "__m").alias("module"), F.when(F.col("module").isNull(), F.col("__s")).otherwise(F.col("source")).alias("source")
+    # the later tiers are the costly ones: they get a written table of the names still open
+    state = settle(
+        asked.join(best, "name", "left").select(
+            "name", F.when(explicit, F.col("name")).otherwise(F.col("answer.module")).alias("module"), F.when(explicit, "explicit").otherwise(F.col("answer.source")).alias("source")
         )
+    )
+    open_names = state.where(F.col("module").isNull()).select("name")
     title = _titled(F.col("name"))
     shapes = F.array(
         F.concat(F.lit("App::"), title), F.concat(F.lit("App::"), F.upper("name")), title, F.concat(F.lit("Perl::"), title)
     )
     known = index.where(F.col("status") == "latest").select("module").distinct()
-    open_names = state.where(F.col("module").isNull()).select("name")
     tried = open_names.select("name", F.posexplode(shapes).alias("shape", "module")).join(known, "module")
-    patterned = tried.groupBy("name").agg(F.min_by("module", "shape").alias("__m"))
-    similar = fuzzy_match(open_names.join(patterned, "name", "left_anti"), known).select("name", F.col("best").alias("__f"))
-    return (
-        state.join(patterned, "name", "left")
-        .join(similar, "name", "left")
-        .select(
-            "name",
-            F.coalesce("module", "__m", "__f").alias("module"),
-            F.coalesce(
-                "source", F.when(F.col("__m").isNotNull(), "pattern"), F.when(F.col("__f").isNotNull(), "fuzzy")
-            ).alias("source"),
-        )
-    )
+    patterned = settle(tried.groupBy("name").agg(F.min_by("module", "shape").alias("module")).withColumn("source", F.lit("pattern")))
+    rest = open_names.join(patterned, "name", "left_anti")
+    similar = fuzzy_match(rest, known).select("name", F.col("best").alias("module"), F.lit("fuzzy").alias("source"))
+    late = patterned.unionByName(similar).withColumnsRenamed({"module": "__m", "source": "__s"})
+    found = state.join(late, "name", "left")
+    return found.select("name", F.coalesce("module", "__m").alias("module"), F.coalesce("source", "__s").alias("source"))
+
+
+#: letters in a gram; shorter names use grams of their own length
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of `size` letters of a text."""
+    places = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
 
 
 def fuzzy_match(names: DataFrame, index: DataFrame, least: float = 0.5) -> DataFrame:
     """Most similar module that contains the name: 1 − edit distance / longer length.
 
-    The distance is to the module's last `::` part, so a score above `least` bounds the
-    length of the name. Each module lists its substrings of those lengths and meets the
-    distinct names by equality: only true containments become pairs.
+    A module that contains a name contains all its grams, so one gram of the name is key enough: the one that the fewest
+    modules have. Modules list their grams of `GRAM` letters, as many as the module is long. The distance is to the module's last
+    `::` part, so a score above `least` bounds its length, and only modules with a last part that short list shorter grams
+    for shorter names. Pairs outside those lengths or without the name inside go before any distance is taken.
     """
-    asked = names.select(F.col("name"), F.lower("name").alias("low")).distinct()
+    asked = names.select(F.col("name"), F.lower("name").alias("low")).where(F.col("low") != "").distinct()
     modules = index.select("module").distinct().withColumn("lower_module", F.lower("module"))
-    last = F.substring_index("lower_module", "::", -1)
-    whole = F.length("lower_module")
-    shortest = F.greatest(F.floor(F.length(last) * least).cast("int"), F.lit(1))
-    longest = F.least(F.ceil(F.length(last) / (1 - least)).cast("int"), whole) if least < 1 else whole
-    lengths = F.when(shortest <= longest, F.sequence(shortest, longest))
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                lengths,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), whole - n + 1), lambda i: F.substring(F.col("lower_module"), i, n)
-                ),
-            )
-        )
-    )
-    pairs = modules.select("module", last.alias("last"), F.explode(pieces).alias("low")).join(asked, "low")
-    score = 1 - F.levenshtein("low", "last") / F.greatest(F.length("low"), F.length("last"))
-    scored = pairs.withColumn("score", score).where(F.col("score") > least)
+    modules = modules.withColumn("last", F.substring_index("lower_module", "::", -1))
+    short = [F.when(F.char_length("last") * least < n, _grams(F.col("lower_module"), n)) for n in range(1, GRAM)]
+    listed = F.flatten(F.array_compact(F.array(*short, _grams(F.col("lower_module"), GRAM))))
+    postings = settle(modules.select("module", "lower_module", "last", F.explode(listed).alias("gram")))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("name", "low", F.explode(F.when(F.char_length("low") < GRAM, F.array("low")).otherwise(_grams(F.col("low"), GRAM))).alias("gram"))
+    rarest = own.join(counts, "gram").groupBy("name", "low").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    n, m = F.char_length("low"), F.char_length("last")
+    near = (F.least(n, m) > least * F.greatest(n, m)) & F.contains("lower_module", "low")
+    pairs = rarest.join(postings, "gram").where(near)
+    score = 1 - F.levenshtein("low", "last") / F.greatest(n, m)
+    scored = pairs.select("name", "module", score.alias("score")).where(F.col("score") > least)
     best = first_in_group(scored, ["name"], [F.col("score").desc(), F.col("module")])
     return best.select("name", F.col("module").alias("best"), "score")
 
@@ -290,37 +291,94 @@ def suggestion_score(a: Column, b: Column) -> Column:
     return F.when(shorter == 0, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(score)
 
 
+#: (letters of a segment, letters that agree in it), from the choosiest to the one that always holds
+SEGMENTS = ((6, 5), (6, 4), (6, 3), (3, 2), (4, 2), (6, 2), (1, 1))
+
+
+def _agreeing(longer: int, share: float) -> int:
+    """Least number of letters at the same place for a longer word of this length."""
+    return floor(longer * share + 1e-9) + 1
+
+
+#: longer words all follow the last plan
+PLANNED = 256
+
+
+def segment_plans(share: float) -> list[tuple[tuple[int, int], int, int | None]]:
+    """(plan, shortest, longest) for ranges of the longer word's length: the first of `SEGMENTS` that two such words must meet.
+
+    With letters equal at n places over s segments, some segment has n / s of them or more.
+    """
+
+    def holds(plan: tuple[int, int], longer: int) -> bool:
+        return ceil(_agreeing(longer, share) / ceil(longer / plan[0])) >= plan[1]
+
+    def holds_beyond(plan: tuple[int, int]) -> bool:
+        width, agree = plan
+        spare = share - (agree - 1) / width
+        return agree == 1 or (spare > 0 and (agree - 1) * (width - 1) / width / spare <= PLANNED)
+
+    each = [(n, next(p for p in SEGMENTS if holds(p, n))) for n in range(1, PLANNED + 1)]
+    ranges = [(plan, [n for n, _ in some]) for plan, some in groupby(each, key=lambda x: x[1])]
+    last = next(p for p in SEGMENTS if holds_beyond(p))
+    return [(plan, lengths[0], lengths[-1]) for plan, lengths in ranges] + [(last, PLANNED + 1, None)]
+
+
+def _keys_of_segment(letters: Column, size: Column, width: int, agree: int) -> Callable[[Column], Column]:
+    """For the number of a segment its keys, null where a place lies behind the word."""
+    choices = list(combinations(range(width), agree))
+
+    def keys(segment: Column) -> Column:
+        first = segment * width
+        made = [
+            F.when(first + choice[-1] < size, F.xxhash64(F.lit(width), F.lit(agree), F.lit(k), segment, *[F.get(letters, first + at) for at in choice]))
+            for k, choice in enumerate(choices)
+        ]
+        return F.array(*made)
+
+    return keys
+
+
+def _segment_keys(word: Column, share: float) -> Column:
+    """A key for each choice of places in each segment, with the letters there, for all plans that the word can need.
+
+    A word takes part in pairs whose longer word has any length that its own letters can still satisfy. Keys carry the plan,
+    so a word lists at most a fixed number of keys for each letter and plan.
+    """
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    size = F.char_length(word)
+    plans = segment_plans(share)
+    lists = []
+    for width, agree in sorted({plan for plan, *_ in plans}):
+        needed = F.lit(False)
+        for plan, low, high in plans:
+            if plan == (width, agree):
+                needed = needed | ((size >= _agreeing(low, share)) & (size <= high if high else F.lit(True)))
+        lists.append(F.when(needed, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / width).cast("int")), _keys_of_segment(letters, size, width, agree)))))
+    return F.array_distinct(F.array_compact(F.flatten(F.array_compact(F.array(*lists)))))
+
+
+def similar_pairs(bad: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """(name, word): the pairs that agree in a segment, among them all with more than `share` of the longer word's letters in place."""
+    listed = words.select("word", F.explode(_segment_keys(F.col("word"), share)).alias("key"))
+    asked = bad.select("name", F.explode(_segment_keys(F.col("name"), share)).alias("key"))
+    shorter, longer = F.least(F.char_length("name"), F.char_length("word")), F.greatest(F.char_length("name"), F.char_length("word"))
+    return asked.join(listed, "key").where(shorter > longer * share).select("name", "word").distinct()
+
+
 def suggest_similar(bad_names: DataFrame, vocabulary: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
     """The `k` most similar vocabulary words of each distinct name, scores above `least`.
 
     Letters in common are at most all of them, so a score above `least` needs more than
-    (least − 0.3) / 0.7 of the longer word at the same place. Two words that share so many
-    (place, letter) tokens share one among the rarest few of each; only those are joined.
+    (least − 0.3) / 0.7 of the longer word at the same place. Words are cut into segments, and words with so many letters
+    in place agree in several letters of one segment: only those are joined, by segment, places and letters.
     """
     share = (least - SAME_LETTER) / SAME_PLACE
     if share <= 0:
         raise ValueError("the least score must be above the weight of letters in common")
-
-    def tokens(word: Column) -> Column:
-        return F.transform(
-            F.filter(F.split(word, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("place"), c.alias("letter"))
-        )
-
     words = vocabulary.select("word").where(F.col("word") != "").distinct()
     bad = bad_names.select("name").where(F.col("name") != "").distinct()
-    spread = words.select("word", F.explode(tokens(F.col("word"))).alias("t"))
-    freq = spread.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-
-    def rarest(df: DataFrame, word: str) -> DataFrame:
-        listed = df.select(word, F.explode(tokens(F.col(word))).alias("t")).join(freq, "t", "left")
-        # one list per word, as long as the word
-        ranked = listed.groupBy(word).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)), "t"))).alias("r"))
-        need = F.floor(F.length(word) * share) + 1
-        head = F.slice("r", F.lit(1), F.greatest(F.length(word) - need + 1, F.lit(0)).cast("int"))
-        return ranked.select(word, F.explode(F.transform(head, lambda x: x["t"])).alias("t"))
-
-    pairs = rarest(bad, "name").join(rarest(words, "word"), "t").select("name", "word").distinct()
-    scored = pairs.withColumn("score", suggestion_score(F.col("name"), F.col("word"))).where(F.col("score") > least)
+    scored = similar_pairs(bad, words, share).withColumn("score", suggestion_score(F.col("name"), F.col("word"))).where(F.col("score") > least)
     return first_in_group(scored, ["name"], [F.col("score").desc(), F.col("word")], k)
 
 

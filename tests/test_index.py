@@ -106,3 +106,53 @@ def test_executables(frame):
     )
     got = ops.find_executables(files, frame("tool string", ("ack",), ("ack",)))
     assert sorted((r.file_name, r.tool_name, r.is_exact_match) for r in got.collect()) == [("ack-grep", "ack-grep", False), ("ack.pl", "ack", True)]
+
+
+def test_suggestions_of_random_words(spark):
+    import random
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 22))) for _ in range(150)})
+    bad = sorted({"".join(c if rng.random() < 0.7 else rng.choice("abcd") for c in w)[: rng.randrange(1, 25)] for w in words[::3]})
+    for least in (0.45, 0.6, 0.8, 0.95):
+        share = (least - 0.3) / 0.7
+        pairs = ops.similar_pairs(spark.createDataFrame([(b,) for b in bad], "name string"), spark.createDataFrame([(w,) for w in words], "word string"), share)
+        got = {tuple(r) for r in pairs.collect()}
+        for b in bad:
+            for w in words:
+                if sum(x == y for x, y in zip(b, w)) > share * max(len(b), len(w)) + 1e-9:
+                    assert (b, w) in got, (least, b, w)
+
+
+def test_suggestion_pairs_grow_with_the_vocabulary(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def made(n):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(6, 16))) for _ in range(n)]
+
+    bad = spark.createDataFrame([(w,) for w in made(200)], "name string")
+    counts = [ops.similar_pairs(bad, spark.createDataFrame([(w,) for w in made(n)], "word string"), 3 / 7).count() for n in (2000, 8000)]
+    assert counts[1] < 5 * counts[0] and counts[1] < 0.01 * 200 * 8000
+
+
+def test_module_postings_are_as_long_as_the_module(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ops, "settle", lambda df: written.append(df) or df)
+    long = "App::" + "abcdefghij" * 30
+    modules = spark.createDataFrame([(long,), ("A",), ("Ab",), ("X::Abc",)], "module string")
+    names = spark.createDataFrame([("abcdefghij" * 20,), ("a",), ("ab",), ("AB",), ("abc",), ("zz",), ("",)], "name string")
+    got = {r.name: r.best for r in ops.fuzzy_match(names, modules).collect()}
+    assert got == {"abcdefghij" * 20: long, "a": "A", "ab": "Ab", "AB": "Ab", "abc": "X::Abc"}
+    assert written[0].where(F.col("module") == long).count() <= len(long)
+
+
+def test_maps_without_module_leave_the_name_open(frame):
+    two = "name string, module string"
+    got = ops.resolve_names(
+        frame("name string", ("a",), ("b",), (None,)), frame(two, ("a", None), (None, "N")), frame(two, ("a", "Second")),
+        frame(two + ", status string", ("b", "Third", "latest")), frame("module string, status string"),
+    )
+    assert {r.name: (r.module, r.source) for r in got.collect()} == {"a": ("Second", "builtin"), "b": ("Third", "executable")}
