@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyscope.functions import masks as m
-from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, first_in_group, running_sum
-from supplyscope.plans.shared import settle
+from supplyscope.plans.ordered import first_in_group
 
 
 def resolve_cross_file(
@@ -40,31 +39,23 @@ def resolve_cross_file(
     return refs.join(hits, "ref", "left")
 
 
-def locate_offsets(
-    diagnostics: DataFrame, files: DataFrame, key: str = "file_id", text: str = "text", max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def locate_offsets(diagnostics: DataFrame, files: DataFrame, key: str = "file_id", text: str = "text", max_rows: int | None = None) -> DataFrame:
     """Line and column of byte offsets, and the report line of each diagnostic.
 
-    Line starts and offsets are sorted together along each file and the last line start
-    is carried forward; no diagnostic ever carries its file's text.
+    Each diagnostic meets its file's text once and counts the line ends in the bytes before its offset: one join, no
+    row for a line, and no list of lines. An offset behind the text is at its end. `files` has one row for each key;
+    without a file, a text or an offset from 0 on, line, column and report are null. `max_rows` has no effect any more.
     """
-    lines = files.select(key, F.posexplode(F.split(text, "\n")).alias("no", "row")).select(
-        key, "no", F.octet_length("row").cast("long").alias("width")
-    )
-    ends = running_sum(settle(lines), [key], ["no"], F.col("width") + 1, "end", max_rows)
-    starts = ends.select(
-        key, (F.col("end") - F.col("width") - 1).alias("at"), F.lit(0).alias("side"), F.col("no").cast("long").alias("id"),
-        F.struct((F.col("no") + 1).cast("long").alias("line"), (F.col("end") - F.col("width") - 1).alias("from"), "width").alias("row"),
-    )
-    marks = diagnostics.select(key, F.col("start").cast("long").alias("at"), F.lit(1).alias("side"), F.col("diag_id").alias("id"))
-    both = starts.unionByName(marks, allowMissingColumns=True)
-    seen = carry_forward(both, [key], ["at", "side", "id"], {"on": F.col("row")}, max_rows).where(F.col("side") == 1)
-    inside = F.least(F.col("at"), F.col("on.from") + F.col("on.width"))
-    places = seen.select(
-        key, F.col("id").alias("diag_id"), F.col("on.line").alias("line"), (inside - F.col("on.from") + 1).alias("col")
-    )
+    texts = files.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    joined = diagnostics.join(texts, F.col(key) == F.col("__key"), "left").drop("__key")
+    size = F.octet_length("__text")
+    offset = F.least(F.col("start").cast("long"), size.cast("long")).cast("int")
+    before = F.when(F.col("start") >= 0, F.substring(F.col("__text").cast("binary"), F.lit(1), offset).cast("string"))
+    ends = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))
+    last = F.octet_length(F.substring_index(before, "\n", -1))
+    places = joined.withColumns({"line": (ends + 1).cast("long"), "col": (last + 1).cast("long")}).drop("__text")
     report = F.format_string("%s:%d:%d: %s: %s [%s]", F.col(key).cast("string"), "line", "col", "severity", "message", "code")
-    return diagnostics.join(places, [key, "diag_id"]).withColumn("report", report)
+    return places.withColumn("report", F.when(F.col("line").isNotNull(), report))
 
 
 def builtin_signatures(spark: SparkSession) -> DataFrame:

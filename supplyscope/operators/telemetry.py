@@ -17,7 +17,7 @@ from supplyscope.plans.ordered import (
     rank_in_group,
     running_sum,
 )
-from supplyscope.plans.skew import spread_join
+from supplyscope.plans.skew import join_groups, spread_join
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -443,7 +443,7 @@ def _past_newest(df: DataFrame, group: Sequence[str], order: Sequence[str], n: i
     spot = F.struct(*order)
     top = first_in_group(df.select(*group, *order), list(group), [F.col(o).desc() for o in order], n)
     edge = top.groupBy(*group).agg(F.min(spot).alias("__edge"))
-    return df.join(edge, list(group), "left").withColumn("__past", spot < F.col("__edge")).drop("__edge")
+    return join_groups(df, edge, group).withColumn("__past", F.coalesce(spot < F.col("__edge"), F.lit(False))).drop("__edge")
 
 
 def evict_by_count(entries: DataFrame, n: int, pool: Sequence[str] = ("pool",)) -> DataFrame:

@@ -28,6 +28,15 @@ def keep_unseen(rows: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFram
     return rows.join(marked, list(on), "left").where(F.col("__seen").isNull()).drop("__seen")
 
 
+def join_groups(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """`rows` with the columns of `lookup` for the same group, where null keys are a group like any other."""
+    renamed = lookup.withColumnsRenamed({k: f"__g_{k}" for k in on})
+    same = F.lit(True)
+    for k in on:
+        same = same & rows[k].eqNullSafe(renamed[f"__g_{k}"])
+    return rows.join(renamed, same, how).drop(*[f"__g_{k}" for k in on])
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -35,16 +44,17 @@ def spread_join(
     how: str = "left",
     hot_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
+    """A join of the groups `on` in which hot groups are spread; null keys are a group."""
     on = list(on)
     sizes = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     if sizes.isEmpty():
-        return facts.join(lookup, on, how)
+        return join_groups(facts, lookup, on, how)
     # one row per key above the limit, so at most (rows / hot_rows) rows in all
     hot = settle(sizes.select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__fan")))
     spread = F.when(
         F.col("__fan").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.col("__fan")).cast("int")
     ).otherwise(F.lit(0))
-    salted = facts.join(F.broadcast(hot), on, "left").withColumn("__salt", spread).drop("__fan")
+    salted = join_groups(facts, F.broadcast(hot), on).withColumn("__salt", spread).drop("__fan")
     repeats = F.sequence(F.lit(0), F.coalesce(F.col("__fan") - 1, F.lit(0)))
-    fanned = lookup.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(repeats)).drop("__fan")
-    return salted.join(fanned, [*on, "__salt"], how).drop("__salt")
+    fanned = join_groups(lookup, F.broadcast(hot), on).withColumn("__salt", F.explode(repeats)).drop("__fan")
+    return join_groups(salted, fanned, [*on, "__salt"], how).drop("__salt")

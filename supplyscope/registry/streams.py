@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyscope.adapters import define, relation, table
+from supplyscope.functions.moments import at
 from supplyscope.plans.shared import shared_folder
 from supplyscope.registry.base import Book
 from supplyscope.registry.telemetry import STATE
@@ -41,13 +42,6 @@ def _as_op_event(df: DataFrame) -> DataFrame:
     )
 
 
-def _as_check(df: DataFrame) -> DataFrame:
-    return df.select(
-        "event_id", F.col("user_id").alias("mirror"), "ts", (F.col("event_type") != "error").alias("healthy"), F.col("value").alias("latency"),
-        (F.col("user_id") % 4).alias("priority"), (F.col("user_id") % 7 != 0).alias("enabled"),
-    )
-
-
 def _finish(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over what is there now, into Parquet, and read the result."""
     spark = stream.sparkSession
@@ -121,14 +115,40 @@ def g3_stream(spark, sf):
     return _shown(_finish(jobs.windowed_operation_metrics(events, "1 hour", "2 hours")))
 
 
-@book.query("g4_stream_mirror_state", ("mirror_check",), f"with {STATE} select * from st")
-def g4(spark, sf):
-    base = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
-    fold = jobs.MirrorFold(f"{base}/state")
-    writer = _as_check(_events(spark, sf)).writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint")
+def _arrivals(spark, sf) -> str:
+    """Checks as files, in the order in which they come: a quarter of the time each, with some checks a quarter late."""
+    path = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    checks = relation(spark, sf, "mirror_check")
+    first, last = checks.agg(F.min("ts"), F.max("ts")).first()
+    quarter = (last - first) / 4
+    late = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    turn = sum((F.when(F.col("ts") >= at(checks, "ts", first + quarter * k), 1).otherwise(0) for k in (1, 2, 3)), late)
+    placed = checks.withColumn("turn", F.coalesce(turn, F.lit(0)))
+    for k in range(5):
+        placed.where(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _fold(spark, path: str, schema, fold: jobs.MirrorFold, base: str) -> int:
+    """Run the stream of files, one a batch, and return its last batch."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    writer = source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint")
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return fold.latest(spark, query.lastProgress["batchId"])
+    return query.lastProgress["batchId"]
+
+
+def _folded(spark, sf) -> tuple[jobs.MirrorFold, int]:
+    base = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
+    fold = jobs.MirrorFold(f"{base}/state", timedelta(days=10), compact_every=2)
+    schema = relation(spark, sf, "mirror_check").schema
+    return fold, _fold(spark, _arrivals(spark, sf), schema, fold, base)
+
+
+@book.query("g4_stream_mirror_state", ("mirror_check",), f"with {STATE} select * from st")
+def g4(spark, sf):
+    fold, last = _folded(spark, sf)
+    return fold.latest(spark, last)
 
 
 IDLE = """with s as (select source, ts, coalesce(ts - lag(ts) over (partition by source order by ts) >= interval '1' day, true)::int as fresh from op_event),
@@ -143,7 +163,7 @@ def _seen(df: DataFrame) -> DataFrame:
 
 @book.query("g5_idle_keys", ("op_event",), IDLE.format(where=""))
 def g5(spark, sf):
-    return _seen(jobs.idle_keys(relation(spark, sf, "op_event"), "1 day"))
+    return _seen(jobs.idle_sessions(relation(spark, sf, "op_event"), timedelta(days=1)))
 
 
 @book.query(

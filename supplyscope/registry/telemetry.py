@@ -292,6 +292,18 @@ def e12(spark, sf):
     return ops.mirror_current_state(relation(spark, sf, "mirror_check"))
 
 
+# checks, entries and backups without a key are a group of their own
+define("loose_check", "select event_id, case when mirror % 10 <> 0 then mirror end as mirror, ts, healthy, latency, priority, enabled from mirror_check")
+define("loose_entry", "select entry_key, case when pool % 4 <> 0 then pool end as pool, size, created_at, last_accessed, expired from cache_entry")
+define("loose_backup", "select case when project % 9 <> 0 then project end as project, name, mod_time from backup_row")
+LOOSE = STATE.replace("mirror_check", "loose_check").replace("m.mirror = o.mirror", "m.mirror is not distinct from o.mirror")
+
+
+@book.query("e12_checks_without_mirror", ("loose_check",), f"with {LOOSE} select * from st")
+def e12_loose(spark, sf):
+    return ops.mirror_current_state(relation(spark, sf, "loose_check"))
+
+
 @book.query(
     "e13_rank_mirrors",
     ("mirror_check",),
@@ -427,6 +439,15 @@ def e18(spark, sf):
     return ops.evict_by_count(relation(spark, sf, "cache_entry"), 100).select("pool", "entry_key")
 
 
+@book.query(
+    "e18_entries_without_pool",
+    ("loose_entry",),
+    "select pool, entry_key from loose_entry qualify row_number() over (partition by pool order by last_accessed desc, entry_key desc) > 100",
+)
+def e18_loose(spark, sf):
+    return ops.evict_by_count(relation(spark, sf, "loose_entry"), 100).select("pool", "entry_key")
+
+
 @book.query(
     "e19_apply_retention",
     ("backup_row",),
@@ -439,6 +460,18 @@ def e19(spark, sf):
     return df.select("project", "name", "reason", "keep")
 
 
+@book.query(
+    "e19_backups_without_project",
+    ("loose_backup",),
+    f"""with o as (select *, mod_time < {NOW_SQL} - interval '700' day as old from loose_backup),
+    r as (select *, row_number() over (partition by project, old order by mod_time desc, name desc) as rn from o)
+    select project, name, case when old then 'age' when rn > 3 then 'count' end as reason, not old and rn <= 3 as keep from r""",
+)
+def e19_loose(spark, sf):
+    df = ops.apply_retention(relation(spark, sf, "loose_backup"), NOW, 700, 3)
+    return df.select("project", "name", "reason", "keep")
+
+
 SESSIONS = """select project, regexp_extract(name, '\\.backup-(\\d+-[a-z]+)', 1) as session, regexp_extract(name, '\\.backup-\\d+-([a-z]+)', 1) as op,
     regexp_extract(name, '\\.backup-(\\d+)', 1)::bigint as epoch, count(*) as n_files from backup_row where contains(name, '.backup-') group by all"""
 

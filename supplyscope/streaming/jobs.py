@@ -1,23 +1,28 @@
 """Structured Streaming jobs and their batch twins.
 
 The functions that take a DataFrame work on streams and tables alike. `MirrorFold` keeps
-its state as a table per micro-batch, so that each batch is folded by a plain
+its state in tables of its micro-batches, so that each batch is folded by a plain
 aggregation in which a hot mirror is split like any other hot key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from supplyscope.functions.moments import at
 from supplyscope.operators.telemetry import mirror_current_state
+from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, previous_value
+from supplyscope.plans.skew import join_groups
 
-def open_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+
+def open_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -95,6 +100,24 @@ def idle_keys(events: DataFrame, ttl: str = "5 minutes", key: str = "source", wa
     return grouped.select(key, F.col("w.start").alias("first_seen"), "last_seen", "n_events")
 
 
+def idle_sessions(
+    events: DataFrame, ttl: timedelta, key: str = "source", order: Sequence[str] = ("ts", "event_id"), max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """`idle_keys` of a table, with a key of any size.
+
+    `session_window` sorts all events of a key in one task. Here an event opens a session if the one before it is more than `ttl`
+    back; the start of its session is carried along, and sessions are counted by key and start with partial sums.
+    `ordered` cuts large keys into slices of time, so a session may lie in many of them.
+    """
+    ts = order[0]
+    timed = events.where(F.col(ts).isNotNull())
+    gaps = previous_value(timed.select(key, *order), [key], list(order), F.col(ts), "__before", max_rows)
+    opens = F.when(F.col("__before").isNull() | (F.col(ts) - F.col("__before") > F.lit(ttl)), F.col(ts))
+    marked = carry_forward(gaps, [key], list(order), {"first_seen": opens}, max_rows)
+    grouped = marked.groupBy(key, "first_seen").agg(F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("n_events"))
+    return grouped.select(key, "first_seen", "last_seen", "n_events")
+
+
 def idle_at(events: DataFrame, as_of: datetime, ttl: timedelta, key: str = "source") -> DataFrame:
     """Keys whose latest event is more than `ttl` before `as_of`."""
     seen = events.groupBy(key).agg(F.max("ts").alias("last_seen"))
@@ -103,34 +126,91 @@ def idle_at(events: DataFrame, as_of: datetime, ttl: timedelta, key: str = "sour
 
 @dataclass
 class MirrorFold:
-    """State of each mirror over a stream of checks, for `writeStream.foreachBatch`.
+    """State of each mirror over a stream of checks that may come late, for `writeStream.foreachBatch`.
+
+    Checks are held open until the latest check seen is more than `delay` ahead of them, and are then folded, in order, into the settled
+    state of their mirror. A check whose time is already settled when it comes, or that has no time, goes to the table of `late` checks.
+    The state shown by `latest` is the settled one with the open checks on top.
 
-    Batch n reads the state table of batch n-1 and writes its own, replacing what an
-    interrupted attempt left: a batch that is run again gives the same state. Checks of
-    one mirror must arrive in order across batches; inside a batch any order is fine.
+    A batch writes the states of the mirrors it settled and the checks still open, no others. Every `compact_every` batches the
+    written states are put together into a base. Folders are used in turn, so what is older than two bases is overwritten and nothing grows with
+    the number of batches. Batch n only reads what batches before n wrote: one that is run again, after a failure,
+    replaces its own tables and gives the same state.
     """
 
     folder: str
+    delay: timedelta = timedelta(0)
+    compact_every: int = 8
+
+    def _slot(self, batch_id: int) -> str:
+        return f"{self.folder}/batch-{batch_id % (2 * self.compact_every):04d}"
 
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/state-{batch_id:09d}"
+    def _base(self, batch_id: int) -> str:
+        return f"{self.folder}/base-{batch_id // self.compact_every % 2}"
 
     def __call__(self, checks: DataFrame, batch_id: int) -> None:
-        state = mirror_current_state(checks)
+        spark, slot = checks.sparkSession, self._slot(batch_id)
+        bound = None  # all checks before it are settled
         if batch_id > 0:
-            state = merge_states(checks.sparkSession.read.parquet(self._path(batch_id - 1)), state)
-        state.write.mode("overwrite").parquet(self._path(batch_id))
+            before = self._slot(batch_id - 1)
+            bound = spark.read.parquet(f"{before}/mark").first()["bound"]
+
+        def earlier(moment: datetime | None) -> Column:
+            return F.col("ts") < at(checks, "ts", moment) if moment is not None else F.lit(False)
+
+        known = checks.withColumn("__late", F.col("ts").isNull() | earlier(bound))
+        if batch_id > 0:
+            known = known.unionByName(spark.read.parquet(f"{before}/open").withColumn("__late", F.lit(False)))
+        known.write.mode("overwrite").parquet(f"{slot}/seen")
+        seen = spark.read.schema(known.schema).parquet(f"{slot}/seen")
+        late = seen.where("__late").drop("__late")
+        if batch_id == 0 or not late.isEmpty():
+            late.write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+
+        on_time = seen.where("not __late").drop("__late")
+        newest = on_time.agg(F.max("ts").alias("t")).first()["t"]
+        if newest is not None and (bound is None or newest - self.delay > bound):
+            bound = newest - self.delay
+        mark = T.StructType([T.StructField("bound", checks.schema["ts"].dataType)])
+        spark.createDataFrame([(bound,)], mark).write.mode("overwrite").parquet(f"{slot}/mark")
+        ripe = earlier(bound)
+        on_time.where(~ripe).write.mode("overwrite").parquet(f"{slot}/open")
+        changed = mirror_current_state(on_time.where(ripe))
+        if batch_id > 0:
+            older = join_groups(self._settled(spark, batch_id - 1), changed.select("mirror"), ["mirror"], "left_semi")
+            changed = merge_states(older, changed)
+        changed.write.mode("overwrite").parquet(f"{slot}/state")
+        if batch_id % self.compact_every == 0:
+            self._settled(spark, batch_id).write.mode("overwrite").parquet(self._base(batch_id))
+
+    def _settled(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Settled state after a batch: of each mirror the last one written since the base of the round before."""
+        first = batch_id // self.compact_every * self.compact_every
+        if batch_id == first:  # this batch's own base may be half written
+            first = max(first - self.compact_every, 0)
+        parts = [spark.read.parquet(f"{self._slot(b)}/state").withColumn("__batch", F.lit(b)) for b in range(first if first == 0 else first + 1, batch_id + 1)]
+        if first > 0:
+            parts.append(spark.read.parquet(self._base(first)).withColumn("__batch", F.lit(first)))
+        rows = reduce(DataFrame.unionByName, parts)
+        names = [c for c in rows.columns if c not in ("mirror", "__batch")]
+        last = rows.groupBy("mirror").agg(F.max_by(F.struct(*names), "__batch").alias("s"))
+        return last.select("mirror", "s.*")
 
     def latest(self, spark: SparkSession, last_batch: int) -> DataFrame:
-        return spark.read.parquet(self._path(last_batch))
+        """State of every mirror after a batch, checks not yet settled included."""
+        still_open = spark.read.parquet(f"{self._slot(last_batch)}/open")
+        return merge_states(self._settled(spark, last_batch), mirror_current_state(still_open))
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """All checks that came after their time was settled, with the batch that brought them."""
+        return spark.read.parquet(f"{self.folder}/late")
 
 
 def merge_states(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """Mirror states of two stretches of a log, one after the other, as one state."""
+    """Mirror states of two stretches of a log, one after the other, as one state; a null mirror is one too."""
     names = [c for c in older.columns if c != "mirror"]
-    both = older.select("mirror", F.struct(*names).alias("a")).join(
-        newer.select("mirror", F.struct(*names).alias("b")), "mirror", "full_outer"
-    )
+    tagged = [t.select("mirror", F.lit(k).alias("side"), F.struct(*names).alias("s")) for k, t in enumerate((older, newer))]
+    both = tagged[0].unionByName(tagged[1]).groupBy("mirror").agg(*[F.max(F.when(F.col("side") == k, F.col("s"))).alias(n) for k, n in enumerate("ab")])
     a, b = F.col("a"), F.col("b")
 
     def count(side: Column, name: str) -> Column:

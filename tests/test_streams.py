@@ -144,3 +144,56 @@ def test_lock_text(spark, frame, tmp_path):
 
     again = parse_lockfiles(text_trees.read_lock_text(spark, path), key="project")
     assert sorted(map(str, again.collect())) == sorted(map(str, frame(schema, *rows).select(again.columns).collect()))
+
+
+CHECKS = "event_id long, mirror string, ts timestamp, healthy boolean, latency double, priority int, enabled boolean"
+
+
+def checks_of(*rows):
+    return [(i, m, None if t is None else START + timedelta(seconds=t), ok, float(i), 1, True) for i, (m, t, ok) in enumerate(rows)]
+
+
+def states(df, columns):
+    return sorted(map(str, df.select(columns).collect()))
+
+
+def test_mirror_fold_takes_late_checks(spark, frame, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = checks_of(*[(rng.choice(["a", "b", None]), t + rng.choice([0, 0, -15]), rng.random() < 0.4) for t in range(20, 200)])
+    fold = jobs.MirrorFold(str(tmp_path / "state"), timedelta(seconds=30), compact_every=2)
+    batches = [rows[k : k + 20] for k in range(0, len(rows), 20)]
+    for n, batch in enumerate(batches):
+        fold(frame(CHECKS, *batch), n)
+        want = mirror_current_state(frame(CHECKS, *rows[: 20 * (n + 1)]))
+        assert states(fold.latest(spark, n), want.columns) == states(want, want.columns), n
+        if n in (3, 4):  # a batch that is run again, with and without a new base
+            fold(frame(CHECKS, *batch), n)
+            assert states(fold.latest(spark, n), want.columns) == states(want, want.columns)
+    assert fold.late(spark).count() == 0
+    # folders are used in turn, whatever the number of batches
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["base-0", "base-1", *[f"batch-{k:04d}" for k in range(4)], "late"]
+
+
+def test_mirror_fold_keeps_what_comes_too_late(spark, frame, tmp_path):
+    rows = checks_of(("a", 0, True), ("a", 100, False), ("a", 50, True), ("a", None, False), ("a", 80, False), ("b", 100, False))
+    fold = jobs.MirrorFold(str(tmp_path / "state"), timedelta(seconds=30))
+    fold(frame(CHECKS, *rows[:2]), 0)
+    fold(frame(CHECKS, *rows[2:]), 1)
+    assert sorted((r.event_id, r.batch) for r in fold.late(spark).collect()) == [(2, 1), (3, 1)]
+    got = {r.mirror: (r.consecutive_failures, r.total_failures) for r in fold.latest(spark, 1).collect()}
+    assert got == {"a": (2, 2), "b": (1, 1)}
+
+
+@pytest.mark.parametrize("max_rows", [7, 1000])
+def test_idle_sessions_are_session_windows(spark, frame, max_rows):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, "op", rng.choice(["hot", "hot", "hot", "x", None]), START + timedelta(seconds=rng.randrange(3000)), 1.0, True) for k in range(150)]
+    rows += [(200, "op", "x", None, 1.0, True), (201, "op", "hot", START, 1.0, True), (202, "op", "edge", START, 1.0, True), (203, "op", "edge", START + timedelta(seconds=60), 1.0, True)]
+    events = frame(SCHEMA, *rows)
+    got = jobs.idle_sessions(events, timedelta(seconds=60), max_rows=max_rows)
+    want = jobs.idle_keys(events, "60 seconds")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))

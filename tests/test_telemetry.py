@@ -156,3 +156,21 @@ def test_categories(frame):
     df = frame("message string", *[(t,) for t in texts])
     got = df.select(ops.error_category(F.col("message"))).collect()
     assert [r[0] for r in got] == ["network_error", "verification_error", "permission_error", "storage_error", "timeout_error", "not_found_error", "general_error"]
+
+
+def test_null_keys_are_groups(frame):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    checks = frame(
+        "event_id long, mirror string, ts timestamp, healthy boolean, latency double, priority int, enabled boolean",
+        *[(k, m, start + timedelta(seconds=k), ok, 1.0, 1, True) for k, (m, ok) in enumerate([(None, False), (None, False), (None, True), (None, False), ("a", False)])],
+    )
+    for hot_rows in (1, 1000):
+        got = {r.mirror: (r.consecutive_failures, r.total_failures) for r in ops.mirror_current_state(checks, hot_rows=hot_rows).collect()}
+        assert got == {None: (1, 3), "a": (1, 1)}
+    entries = frame("entry_key long, pool string, last_accessed timestamp", *[(k, "p" if k % 2 else None, start + timedelta(days=k)) for k in range(6)])
+    assert sorted(r.entry_key for r in ops.evict_by_count(entries, 2).collect()) == [0, 1]
+    backups = frame("project string, name string, mod_time timestamp", *[("p" if k % 2 else None, f"b{k}", start + timedelta(days=k)) for k in range(6)])
+    kept = ops.apply_retention(backups, start + timedelta(days=9), 0, 2).where("keep").collect()
+    assert sorted(r.name for r in kept) == ["b2", "b3", "b4", "b5"]
