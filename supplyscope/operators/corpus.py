@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplyscope.functions.facts import DETECTION_CORE, PRAGMAS
 from supplyscope.functions import masks as m
-from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, first_in_group, running_sum
+from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, first_in_group
 from supplyscope.plans.shared import settle
 
 _BLANK = " \t\r\f"
@@ -199,22 +199,23 @@ _DECLARATION = (
 
 
 def extract_declarations(
-    files: DataFrame, key: str = "file_id", text: str = "text", max_rows: int = MAX_GROUP_ROWS
+    files: DataFrame, key: str = "file_id", text: str = "text", max_rows: int | None = None
 ) -> DataFrame:
     """Packages, subs and variables declared in each file, with type mask and byte position.
 
-    Found by pattern, line comments skipped. Every match comes with the text since the one
-    before, so a position is a running sum of byte lengths along the file.
+    Found by pattern, line comments skipped. One pass of the pattern puts marks around every match; the text is cut at the marks,
+    and a position is the sum of byte lengths before it, along the pieces of one file, which came from one cell.
+    `max_rows` has no effect any more.
     """
-    walk = F.lit(rf"(?ms)\G(.*?)({_DECLARATION})")
-    gaps, hits = (F.regexp_extract_all(text, walk, F.lit(i)) for i in (1, 2))
-    rows = files.select(key, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("pos", "m")).select(
-        key,
-        "pos",
-        F.col("m.hit").alias("hit"),
-        (F.octet_length("m.gap") + F.octet_length("m.hit")).cast("long").alias("span"),
-    )
-    placed = running_sum(settle(rows), [key], ["pos"], F.col("span"), "end", max_rows)
+    begin, end = "\u0001", "\u0002"
+    plain = F.translate(text, begin + end, "  ")  # a byte for a byte: positions stay
+    marked = F.regexp_replace(plain, f"(?ms){_DECLARATION}", f"{begin}$0{end}")
+    rows = files.select(key, F.posexplode(F.split(marked, begin)).alias("pos", "piece"))
+    # the first piece is what comes before any match; every other one is a match, the end mark and what follows
+    hit = F.when(F.col("pos") > 0, F.substring_index("piece", end, 1))
+    span = F.octet_length("piece") - F.when(F.col("pos") > 0, 1).otherwise(0)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(key, "pos", hit.alias("hit"), span.cast("long").alias("span")).withColumn("start", F.sum("span").over(before))
     hit = F.col("hit")
     word = F.regexp_extract(hit, r"^(package|sub)\s+([\w:]+)", 1)
     variables = F.transform(
@@ -236,9 +237,9 @@ def extract_declarations(
             F.when(word == "sub", m.bits(m.CODE)).otherwise(m.bits(m.UNKNOWN)).alias("type_mask"),
         )
     )
-    declared = placed.where(~_trimmed(hit).startswith("#")).select(
+    declared = placed.where(hit.isNotNull() & ~_trimmed(hit).startswith("#")).select(
         key,
-        (F.col("end") - F.octet_length(hit)).alias("start"),
+        "start",
         F.explode(F.when(word != "", named).otherwise(variables)).alias("d"),
     )
     return declared.select(key, "d.kind", "d.name", "d.type_mask", "start")
@@ -352,7 +353,10 @@ ERROR_TEXTS = (
 
 
 def tap_lines(logs: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Log lines (run, line_no, line) with kind, current test file and the failure they belong to."""
+    """Log lines (run, line_no, line) with kind, current test file and the failure they belong to, as a written table.
+
+    The operators below read the lines several times; writing them once keeps the patterns and the carried values from running again.
+    """
     line = F.col("line")
     kind = (
         F.when(line.rlike(TAP_FILE), "file")
@@ -380,7 +384,7 @@ def tap_lines(logs: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     # a `#` line outside a failure is read like any other line
     outside = F.when(line.rlike(TAP_RESULT), "result").otherwise("other")
     settled = F.when((F.col("kind") == "diag") & ~inside, outside).otherwise(F.col("kind"))
-    return carried.withColumns({"failure_line": F.when(inside, F.col("failure_line")), "kind": settled})
+    return settle(carried.withColumns({"failure_line": F.when(inside, F.col("failure_line")), "kind": settled}))
 
 
 def tap_failure_lines(lines: DataFrame) -> DataFrame:

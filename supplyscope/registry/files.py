@@ -21,47 +21,48 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
-def _one_file_each(df: DataFrame, key: str, path: str) -> None:
-    """Write the `text` of each row to a file of its own below `path`/key=…"""
-    df.select(key, "text").repartition(key).write.partitionBy(key).text(path)
+def _epoch(ts: str = "ts"):
+    return F.unix_timestamp(F.col(ts).cast("timestamp"))
 
 
-PER_DAY = "select strftime(ts, '%Y-%m-%d') as day, op, count(*) as n from op_event group by all"
-
-
-def _per_day(spark, sf) -> DataFrame:
-    """One row per day and operation, each to be written to a file of its own."""
-    day = F.date_format("ts", "yyyy-MM-dd")
-    counts = relation(spark, sf, "op_event").groupBy(day.alias("day"), "op").agg(F.count("*").alias("n"))
-    return counts.withColumn("file", F.concat_ws("-", "day", "op")).withColumn("kind", F.dayofmonth(F.to_date("day")) % 5)
+def _metric_texts(spark, sf):
+    """Every event as a JSON document; each fifth one is broken off."""
+    good = F.to_json(
+        F.struct(
+            _epoch().alias("timestamp"), F.col("op").alias("method"), F.concat(F.lit("5."), F.col("source") % 9).alias("version"),
+            F.col("success"), F.col("event_id").alias("total_time"), F.lit(True).alias("download_success"),
+        )
+    )
+    broken = F.concat(F.lit('{"broken ": '), F.col("event_id"))
+    return relation(spark, sf, "op_event").select(F.when(F.col("event_id") % 5 == 3, broken).otherwise(good).alias("text"))
 
 
 @book.query(
     "h1_read_metric_files",
     ("op_event",),
-    f"""select strftime(day::date, '%Y-%m-%d 00:00:00') as ts, op as method, n / 1000 as total_time, n % 2 = 0 as success, true as download_success, concat('5.', n % 9) as version,
-    '' as platform, '' as error_type from ({PER_DAY}) where extract(day from day::date) % 5 <> 3""",
+    """select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, op as method, event_id / 1000 as total_time, success, true as download_success, concat('5.', source % 9) as version,
+    '' as platform, '' as error_type from op_event where event_id % 5 <> 3""",
 )
 def h1(spark, sf):
-    good = F.to_json(
-        F.struct(
-            F.unix_timestamp(F.to_timestamp("day")).alias("timestamp"), F.col("op").alias("method"), F.concat(F.lit("5."), F.col("n") % 9).alias("version"),
-            (F.col("n") % 2 == 0).alias("success"), F.col("n").alias("total_time"), F.lit(True).alias("download_success"),
-        )
-    )
     path = _folder(spark)
-    _one_file_each(_per_day(spark, sf).withColumn("text", F.when(F.col("kind") == 3, F.lit('{"broken":')).otherwise(good)), "file", path)
-    read = metric_files.read_metric_files(spark, path, "part-*")
+    _metric_texts(spark, sf).write.text(path)
+    read = metric_files.read_metric_files(spark, path, "part-*", ordered=False, lines=True)
     shown = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
     return read.select(shown, "method", "total_time", "success", "download_success", "version", "platform", "error_type")
 
 
+@book.query("h1_bad_metric_records", ("op_event",), """select concat('{"broken ": ', event_id) as record from op_event where event_id % 5 = 3""")
+def h1_bad(spark, sf):
+    path = _folder(spark)
+    _metric_texts(spark, sf).write.text(path)
+    return metric_files.bad_metric_records(spark, path, "part-*", lines=True).select("record")
+
+
 @book.query("h2_read_source_tree", sql="select text, concat(lang, '/', source) as place from documents")
 def h2(spark, sf):
     path = _folder(spark)
     table(spark, sf, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").option("lineSep", "\u0001").text(path)
-    tree = text_trees.read_source_tree(spark, path, ["txt"])
-    parts = tree.select(F.explode(F.filter(F.split("text", "\u0001"), lambda t: t != "")).alias("text"), "path")
+    parts = text_trees.read_source_tree(spark, path, ["txt"], text_end="\u0001")
     place = F.concat_ws("/", F.regexp_extract("path", "lang=([^/]*)/", 1), F.regexp_extract("path", "source=([^/]*)/", 1))
     return parts.select("text", place.alias("place"))
 
@@ -69,20 +70,20 @@ def h2(spark, sf):
 @book.query(
     "h3_read_cache_index",
     ("op_event",),
-    f"""with d as (select *, extract(day from day::date) % 5 as kind from ({PER_DAY}))
-    select case when kind in (1, 2) then null else concat(op, n) end as entry_key, kind not in (1, 2, 3) as is_valid,
+    """with d as (select *, event_id % 5 as kind from op_event)
+    select case when kind in (1, 2) then null else concat(op, event_id) end as entry_key, kind not in (1, 2, 3) as is_valid,
     case kind when 1 then 'invalid JSON structure' when 2 then 'missing cache key' when 3 then 'missing timestamp' end as problem,
-    case when kind in (1, 3) then null else concat(day, ' 03:04:05') end as created_at from d""",
+    case when kind in (1, 3) then null else strftime(ts, '%Y-%m-%d %H:%M:%S') end as created_at from d""",
 )
 def h3(spark, sf):
-    kind = F.col("kind")
-    key = F.when(kind != 2, F.concat("op", "n"))
-    stamp = F.when(kind != 3, F.concat("day", F.lit("T03:04:05Z")))
+    kind = F.col("event_id") % 5
+    key = F.when(kind != 2, F.concat("op", "event_id"))
+    stamp = F.when(kind != 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     meta = F.struct(key.alias("key"), stamp.alias("timestamp"), F.lit("2024-02-02T03:04:05Z").alias("expires"))
     text = F.when(kind == 1, F.lit("{{")).otherwise(F.to_json(F.struct(meta.alias("metadata"), F.lit(1).alias("data"))))
     path = _folder(spark)
-    _one_file_each(_per_day(spark, sf).withColumn("text", text), "file", path)
-    read = metric_files.read_cache_index(spark, path, "part-*")
+    relation(spark, sf, "op_event").select(text.alias("text")).write.text(path)
+    read = metric_files.read_cache_index(spark, path, "part-*", lines=True)
     return read.select("entry_key", "is_valid", "problem", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("pl", "pm", "t")
 
 
-def read_source_tree(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, text_end: str | None = None) -> DataFrame:
     """(path, text) of the files below `root` with one of the extensions, in any case.
 
-    Other files are left out when the folders are listed, before anything is read.
+    Other files are left out when the folders are listed, before anything is read. With `text_end`, a character, a file holds any
+    number of texts that end with it, a row for each; such a file is read in splits by many tasks.
     """
 
     def any_case(word: str) -> str:
         return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
 
     wanted = "*.{" + ",".join(any_case(e.lstrip(".")) for e in extensions) + "}"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(root, wholetext=True)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted)
+    files = reader.text(root, lineSep=text_end) if text_end else reader.text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

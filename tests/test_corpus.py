@@ -212,3 +212,9 @@ def test_upsert_and_archive_root(frame):
     assert sorted(map(tuple, corpus.upsert_requirements(now, change, ["module", "phase"]).collect())) == [("A", "runtime", "2"), ("A", "test", "3"), ("B", "test", "1")]
     entries = frame("archive int, dir string, entry string", (1, "b", "b/Makefile.PL"), (1, "a", "a/Makefile"), (1, "c", "c/x/Build.PL"), (2, "z", "z/R"), (2, "y", "y/R"))
     assert sorted((r.archive, r.root, r.build_file) for r in corpus.pick_archive_root(entries).collect()) == [(1, "b", "Makefile.PL"), (2, "y", None)]
+
+
+def test_declarations_between_marks(frame):
+    text = "\u0001my $a;\u0002 sub \u0001f {}\nour ($b, @c)\u0002= 1;\n# sub no\nsub g {}"
+    got = {(r.name, r.start) for r in corpus.extract_declarations(one(frame, text)).collect()}
+    assert got == {("$a", 1), ("$b", text.index("our")), ("@c", text.index("our")), ("g", text.index("sub g")), ("f", text.index("sub"))}

@@ -197,3 +197,20 @@ def test_idle_sessions_are_session_windows(spark, frame, max_rows):
     got = jobs.idle_sessions(events, timedelta(seconds=60), max_rows=max_rows)
     want = jobs.idle_keys(events, "60 seconds")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_documents_by_line(spark, tmp_path):
+    (tmp_path / "metrics-1.json").write_text('{"timestamp": 20, "method": "a"}\n\n{"timestamp": \n[1]\n{"timestamp": 10}\n')
+    (tmp_path / "metrics-2.json").write_text('{"timestamp": 30}')
+    read = metric_files.read_metric_files(spark, str(tmp_path), lines=True).select(F.unix_seconds("ts").alias("t"), "method").collect()
+    assert [tuple(r) for r in read] == [(10, ""), (20, "a"), (30, "")]
+    bad = metric_files.bad_metric_records(spark, str(tmp_path), lines=True).collect()
+    assert sorted((r.file_path[-14:], r.record) for r in bad) == [("metrics-1.json", "[1]"), ("metrics-1.json", '{"timestamp": ')]
+    (tmp_path / "index").write_text('{"metadata": {"key": "k", "timestamp": "2024-01-01T00:00:00Z"}}\n{')
+    got = metric_files.read_cache_index(spark, str(tmp_path), "index", lines=True).collect()
+    assert sorted((r.entry_key or "", r.problem or "", r["size"]) for r in got) == [("", "invalid JSON structure", 1), ("k", "", 63)]
+
+
+def test_many_texts_in_a_file(spark, tmp_path):
+    (tmp_path / "a.pl").write_text("one\ntwo\x1ethree\x1e")
+    assert [r.text for r in text_trees.read_source_tree(spark, str(tmp_path), text_end="\x1e").collect()] == ["one\ntwo", "three"]
