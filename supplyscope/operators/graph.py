@@ -342,30 +342,18 @@ def dependency_report(tools: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("tool", "main_module", F.coalesce("n_dependencies", F.lit(0)).alias("n_dependencies"))
 
 
-def inheritance_paths(inherits: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile, ancestor, path): best precedence path from each profile to what it inherits.
+def _inheritance_levels(profiles: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node, level, leftover): every profile and parent, parents first."""
+    nodes = profiles.select(F.col("profile").alias("node")).union(steps.select("profile")).union(steps.select("parent"))
+    known = nodes.where(F.col("node").isNotNull())
+    return topological_levels(known, steps.select(F.col("profile").alias("src"), F.col("parent").alias("dst")))
 
-    A path is the list of parent positions, closed by an end mark above every position, so
-    that the greatest path wins: own values over parents, later parents over earlier ones.
-    Of several paths to one ancestor only the greatest counts and is followed on.
-    """
-    spark = inherits.sparkSession
-    end = F.array(F.lit(2**31 - 1))
-    steps = settle(inherits.select(F.col("profile").alias("ancestor"), "parent", F.col("pos").cast("int").alias("pos")).distinct())
-    known = Stage(spark)
-    own = profiles.select("profile").distinct()
-    front = known.add(own.select("profile", F.col("profile").alias("ancestor"), end.alias("path")))
-    while not front.isEmpty():
-        onward = front.join(steps, "ancestor").select(
-            "profile",
-            F.col("parent").alias("ancestor"),
-            F.concat(F.slice("path", F.lit(1), F.size("path") - 1), F.array("pos"), end).alias("path"),
-        )
-        best = onward.groupBy("profile", "ancestor").agg(F.max("path").alias("path"))
-        so_far = known.all().groupBy("profile", "ancestor").agg(F.max("path").alias("old"))
-        better = best.join(so_far, ["profile", "ancestor"], "left").where(F.col("old").isNull() | (F.col("path") > F.col("old")))
-        front = known.add(better.drop("old"))
-    return known.all().groupBy("profile", "ancestor").agg(F.max("path").alias("path"))
+
+def inheritance_errors(profiles: DataFrame, inherits: DataFrame) -> DataFrame:
+    """(profile, error): the profiles that inherit in a circle or from one that does. They have no settings."""
+    steps = inherits.select("profile", "parent").distinct()
+    left = _inheritance_levels(profiles, steps).where("leftover").select(F.col("node").alias("profile"))
+    return profiles.select("profile").distinct().join(left, "profile").withColumn("error", F.lit("circular inheritance"))
 
 
 def resolve_inheritance(
@@ -374,18 +362,31 @@ def resolve_inheritance(
     """Effective settings of each profile: (profile, key, value, origin).
 
     defaults ← parents in listed order, each resolved first ← own keys; only keys that are
-    explicitly set count. `settings` has (profile, key, value), `defaults` (key, value).
+    explicitly set count. `settings` has (profile, key, value), `defaults` (key, value). Of two values of one own key the smaller
+    counts, of two parents at one position the greater name. Profiles are resolved level by level, so a profile reads the
+    finished settings of its parents and nothing behind them. Profiles in `inheritance_errors` are left out.
     """
-    paths = inheritance_paths(inherits, profiles)
-    given = settings.select(F.col("profile").alias("ancestor"), "key", "value")
-    rows = paths.join(given, "ancestor")
-    chosen = first_in_group(rows, ["profile", "key"], [F.col("path").desc(), F.col("value")])
-    resolved = chosen.select("profile", "key", "value", F.col("ancestor").cast("string").alias("origin"))
+    steps = settle(inherits.select("profile", "parent", F.col("pos").cast("int").alias("pos")).distinct())
+    placed = settle(_inheritance_levels(profiles, steps).where("not leftover").select(F.col("node").alias("profile"), "level"))
+    given = settings.groupBy("profile", "key").agg(F.min("value").alias("value"))
+    own = settle(given.join(placed, "profile").select("profile", "key", "value", F.col("profile").cast("string").alias("origin"), "level"))
+    ways = settle(steps.join(placed, "profile").select("profile", "parent", "pos", "level"))
+    resolved = Stage(profiles.sparkSession)
+    resolved.add(own.where("level = 0").select("profile", "key", "value", "origin"))
+    nothing = F.lit(None)
+    first = F.struct(F.lit(True).alias("own"), nothing.cast("int").alias("pos"), nothing.cast(ways.schema["parent"].dataType).alias("parent"))
+    for level in range(1, (placed.agg(F.max("level")).first()[0] or 0) + 1):
+        from_parents = resolved.all().withColumnRenamed("profile", "parent").join(ways.where(F.col("level") == level), "parent")
+        answers = from_parents.select("profile", "key", F.struct(F.lit(False).alias("own"), "pos", "parent").alias("rank"), "value", "origin")
+        mine = own.where(F.col("level") == level).select("profile", "key", first.alias("rank"), "value", "origin")
+        best = answers.unionByName(mine).groupBy("profile", "key").agg(F.max_by(F.struct("value", "origin"), "rank").alias("b"))
+        resolved.add(best.select("profile", "key", "b.value", "b.origin"))
+    asked = profiles.select("profile").distinct()
+    rows = resolved.all().join(asked, "profile", "left_semi")
     if defaults is None:
-        return resolved
-    keys = defaults.select("key", "value")
-    # a handful of defaults applies to every profile: they travel as one array value
-    base = keys.agg(F.array_sort(F.collect_list(F.struct("key", "value")))).scalar()
-    filled = profiles.select("profile").distinct().select("profile", F.explode(base).alias("d"))
-    missing = filled.select("profile", "d.key", "d.value").join(resolved.select("profile", "key"), ["profile", "key"], "left_anti")
-    return resolved.unionByName(missing.withColumn("origin", F.lit("default")))
+        return rows
+    # the defaults apply to every profile, so the result has a row for each pair; they travel as one array value
+    base = defaults.select("key", "value").agg(F.array_sort(F.collect_list(F.struct("key", "value")))).scalar()
+    filled = asked.join(placed.select("profile"), "profile", "left_semi").select("profile", F.explode(base).alias("d")).select("profile", "d.key", "d.value")
+    missing = filled.join(rows.select("profile", "key"), ["profile", "key"], "left_anti")
+    return rows.unionByName(missing.withColumn("origin", F.lit("default")))

@@ -311,6 +311,29 @@ def c9(spark, sf):
     return ops.dependency_report(*_tools(spark, sf))
 
 
+define(
+    "tangled_parent",
+    """select profile, parent, pos from profile_parent union all select c_custkey, c_custkey * 2 + 1, 7 from customer where c_custkey % 50 = 9 and c_custkey > 100""",
+)
+
+
+def error_check() -> str:
+    from supplyscope.adapters import with_relations
+
+    walk = """w(a, b) as (select profile, parent from tangled_parent union select w.a, t.parent from w join tangled_parent t on t.profile = w.b),
+    c as (select distinct a from w where a = b), e as (select a from c union select w.a from w join c on w.b = c.a)
+    select profile, 'circular inheritance' as error from profile_row where profile in (select a from e)"""
+    return recursive(with_relations("profile_row", "tangled_parent").strip(), walk)
+
+
+book.oracle["c10_inheritance_errors"] = error_check()
+
+
+@book.query("c10_inheritance_errors")
+def c10_errors(spark, sf):
+    return ops.inheritance_errors(relation(spark, sf, "profile_row"), relation(spark, sf, "tangled_parent"))
+
+
 def inheritance_check() -> str:
     from supplyscope.adapters import with_relations
 

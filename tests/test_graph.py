@@ -165,3 +165,39 @@ def test_sets_and_levels_of_random_graphs(spark):
 
         table = spark.createDataFrame([(v,) for v in nodes], "node long")
         assert {r.node: r.level for r in ops.topological_levels(table, edges).collect()} == {v: level(v) for v in nodes}
+
+
+def test_inheritance_matches_recursion(spark):
+    import random
+
+    rng = random.Random(8)
+    names = [f"p{k:02d}" for k in range(40)]
+    parents = {n: [(rng.choice(names[:k]), pos) for pos in range(rng.randrange(0, 4))] if k else [] for k, n in enumerate(names)}
+    own = {n: {rng.choice("abcdef"): f"{n}{v}" for v in range(rng.randrange(0, 3))} for n in names}
+    parents["p39"] = [("unlisted", 0), ("p05", 1)]
+    own["unlisted"] = {"z": "u"}
+
+    def resolve(n):
+        out = {}
+        for parent, _ in sorted(parents.get(n, []), key=lambda x: x[1]):
+            out.update(resolve(parent))
+        return {**out, **{k: (v, n) for k, v in own[n].items()}}
+
+    want = {(n, k): v for n in names for k, v in ({"a": ("da", "default"), "y": ("dy", "default")} | resolve(n)).items()}
+    got = ops.resolve_inheritance(
+        spark.createDataFrame([(n,) for n in names] * 2, "profile string"),
+        spark.createDataFrame([(n, p, pos) for n, ps in parents.items() for p, pos in ps] * 2, "profile string, parent string, pos int"),
+        spark.createDataFrame([(n, k, v) for n, ks in own.items() for k, v in ks.items()] + [("p00", "q", "2"), ("p00", "q", "1")], "profile string, key string, value string"),
+        spark.createDataFrame([("a", "da"), ("y", "dy")], "key string, value string"),
+    )
+    rows = {(r.profile, r.key): (r.value, r.origin) for r in got.where("key <> 'q'").collect()}
+    assert rows == want and got.where("profile = 'p00' and key = 'q'").first().value == "1"
+
+
+def test_circular_inheritance_is_an_error(frame):
+    profiles = frame("profile string", *[(n,) for n in "abcde"])
+    inherits = frame("profile string, parent string, pos int", ("a", "b", 0), ("b", "a", 0), ("c", "a", 0), ("d", "e", 0))
+    assert sorted(tuple(r) for r in ops.inheritance_errors(profiles, inherits).collect()) == [(n, "circular inheritance") for n in "abc"]
+    settings = frame("profile string, key string, value string", ("a", "k", "1"), ("e", "k", "2"))
+    got = ops.resolve_inheritance(profiles, inherits, settings, frame("key string, value string", ("x", "d")))
+    assert sorted(tuple(r) for r in got.collect()) == [("d", "k", "2", "e"), ("d", "x", "d", "default"), ("e", "k", "2", "e"), ("e", "x", "d", "default")]
