@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from supplyscope.operators.graph import topological_levels
 from supplyscope.plans.ordered import first_in_group
 from supplyscope.plans.shared import Stage, settle
 
@@ -160,24 +161,103 @@ def _pieces(text: Column) -> Column:
     return F.filter(F.concat(literals, references), lambda p: (p["idx"] == 0) | (p["text"] != ""))
 
 
-def expand_templates(df: DataFrame, column: str, variables: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+#: longest expansion; a longer one is an error
+MAX_TEXT = 10_000_000
+
+
+def expand_templates(df: DataFrame, column: str, variables: DataFrame, max_depth: int = MAX_DEPTH, max_text: int = MAX_TEXT) -> DataFrame:
     """Adds `expanded` and `error` for `${NAME}` and `${NAME:-default}` in a text column.
 
-    Every distinct template is cut into literals and references, a row for each. In a round all open
-    references are joined to their variables, and the texts found there (or the defaults) are cut in
-    turn; `place` keeps the order of the pieces and `path` the names around them. A template is put
-    together once, when none of its references is open.
+    Every distinct template, value and default is cut once into literals and references, a row for each. Names get
+    levels, those without references first, and each is put together once from the finished texts of the names in it, so ten levels
+    of `${x}${x}` are ten rows of work. Sizes are added up before texts: one of more than `max_text` characters is never made.
 
     Unset variables without a default become empty; a name inside itself or more than `max_depth`
-    names around a text is an error, and the leftmost error of a template is the one reported.
+    names around a text is an error, and the leftmost error of a template is the one reported. Only templates that meet such names
+    are walked name by name to find it.
     """
     given = settle(variables.where(F.coalesce("value", F.lit("")) != "").groupBy("name").agg(F.max("value").alias("value")))
     texts = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
-    nothing = F.array()
-    current = texts.select(
-        F.sha2("text", 256).alias("template"), nothing.cast("array<int>").alias("place"), nothing.cast("array<string>").alias("path"), "text"
+    templates = settle(texts.select(F.sha2("text", 256).alias("template"), "text"))
+    pieces, levels = _cut_texts(templates, given)
+    fits = settle(levels.where(F.col("level") < max_depth))
+    owner = F.when(F.col("kind") != "template", F.col("name"))
+    leveled = pieces.withColumn("owner", owner).join(fits.select(F.col("name").alias("owner"), "level"), "owner", "left")
+    bad = pieces.where("kind = 'template' and target_name is not null").join(fits.select(F.col("name").alias("target_name")), "target_name", "left_anti")
+    lost = settle(bad.select(F.col("node").alias("template")).distinct())
+
+    made = Stage(df.sparkSession)
+    deepest = fits.agg(F.max("level")).first()[0]
+    made.add(_assembled(pieces.limit(0), None, max_text))
+    for level in range(-1 if deepest is None else deepest + 1):
+        made.add(_assembled(leveled.where(F.col("level") == level), made.all(), max_text))
+    top = pieces.where("kind = 'template'").join(lost.withColumnRenamed("template", "node"), "node", "left_anti")
+    done = _assembled(top, made.all(), max_text).select(F.col("node").alias("template"), F.col("text").alias("expanded"), "error")
+    rest = templates.join(lost, "template", "left_semi")
+    if not rest.isEmpty():
+        done = done.unionByName(_walked(rest, given, max_depth))
+    return df.withColumn("template", F.sha2(column, 256)).join(done, "template", "left").drop("template")
+
+
+def _cut_texts(templates: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pieces, levels): the pieces of every template, value and default, and the level of each name.
+
+    A piece has the `node` it belongs to, `idx`, its literal `text` or the `target` node and `target_name` of its reference.
+    """
+    rounds = Stage(templates.sparkSession)
+    set_names = given.select(F.col("name").alias("ref"), F.lit(True).alias("is_set"))
+    start = templates.select(F.col("template").alias("node"), F.lit("template").alias("kind"), F.lit(None).cast("string").alias("name"), "text")
+    front = start.unionByName(given.select(F.concat(F.lit("v:"), "name").alias("node"), F.lit("value").alias("kind"), "name", F.col("value").alias("text")))
+    while True:
+        cut = front.select("node", "kind", "name", F.explode(_pieces(F.col("text"))).alias("p"))
+        cut = cut.select("node", "kind", "name", "p.idx", "p.text", F.col("p.name").alias("ref"), "p.fallback").join(set_names, "ref", "left")
+        by_default = F.concat(F.lit("d:"), "ref", F.lit(":"), F.sha2(F.coalesce("fallback", F.lit("")), 256))
+        target = F.when(F.col("is_set"), F.concat(F.lit("v:"), "ref")).when(F.col("ref").isNotNull(), by_default)
+        opens = F.col("ref").isNotNull() & F.col("is_set").isNull()
+        rows, seen = rounds.add_counted(
+            cut.select("node", "kind", "name", "idx", "text", target.alias("target"), F.col("ref").alias("target_name"), F.when(opens, F.coalesce("fallback", F.lit(""))).alias("inner")),
+            inner=F.count("inner"),
+        )
+        if not seen["inner"]:
+            break
+        fresh = rows.where("inner is not null").select(F.col("target").alias("node"), F.lit("default").alias("kind"), F.col("target_name").alias("name"), F.col("inner").alias("text"))
+        known = rounds.all().select("node").distinct()
+        front = fresh.distinct().join(known, "node", "left_anti")
+        if front.isEmpty():
+            break
+    pieces = rounds.all().drop("inner")
+    # names by what they refer to; a name with several defaults is taken for all of them
+    within = pieces.where("kind <> 'template' and target_name is not null").select(F.col("name").alias("src"), F.col("target_name").alias("dst"))
+    names = pieces.select("name").union(pieces.select("target_name")).where("name is not null").distinct()
+    levels = topological_levels(names.withColumnRenamed("name", "node"), within).where("not leftover")
+    return pieces, settle(levels.select(F.col("node").alias("name"), "level"))
+
+
+def _assembled(pieces: DataFrame, made: DataFrame | None, max_text: int) -> DataFrame:
+    """(node, text, size, error) of the nodes of `pieces` from the finished texts `made`."""
+    if made is None:
+        made = pieces.select("node", "text", F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("error"))
+    inner = made.select(F.col("node").alias("target"), F.col("size").alias("inner_size"), F.col("error").alias("inner_error"))
+    length = F.when(F.col("target").isNull(), F.char_length("text")).otherwise(F.coalesce("inner_size", F.lit(0)))
+    sized = pieces.join(inner, "target", "left").groupBy("node").agg(
+        F.sum(length.cast("long")).alias("size"),
+        F.min(F.when(F.col("inner_error").isNotNull(), F.struct("idx", "inner_error")))["inner_error"].alias("inner_error"),
     )
-    rounds = Stage(df.sparkSession)
+    error = F.coalesce("inner_error", F.when(F.col("size") > max_text, F.lit("expansion too long")))
+    judged = sized.select("node", "size", error.alias("error"))
+    sound = pieces.join(judged.where("error is null").select("node"), "node", "left_semi")
+    filled = sound.join(made.select(F.col("node").alias("target"), F.col("text").alias("inner")), "target", "left")
+    text = F.when(F.col("target").isNull(), F.col("text")).otherwise(F.coalesce("inner", F.lit("")))
+    parts = filled.select("node", "idx", text.alias("text")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("parts"))
+    joined = parts.select("node", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
+    return judged.join(joined, "node", "left").select("node", "text", "size", "error")
+
+
+def _walked(templates: DataFrame, given: DataFrame, max_depth: int) -> DataFrame:
+    """(template, expanded, error) by following every reference on its own, with the names around it as its path."""
+    nothing = F.array()
+    current = templates.select("template", nothing.cast("array<int>").alias("place"), nothing.cast("array<string>").alias("path"), "text")
+    rounds = Stage(templates.sparkSession)
     too_deep = F.size("path") > max_depth
     whole = F.array(F.struct(F.lit(0).alias("idx"), F.lit("").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("fallback")))
     for _ in range(max_depth + 2):
@@ -198,8 +278,7 @@ def expand_templates(df: DataFrame, column: str, variables: DataFrame, max_depth
         ordered.alias("parts"), F.min(F.when(F.col("error").isNotNull(), F.struct("place", "error")))["error"].alias("error")
     )
     joined = F.array_join(F.transform("parts", lambda x: x["text"]), "")
-    done = done.select("template", F.when(F.col("error").isNull(), joined).alias("expanded"), "error")
-    return df.withColumn("template", F.sha2(column, 256)).join(done, "template", "left").drop("template")
+    return done.select("template", F.when(F.col("error").isNull(), joined).alias("expanded"), "error")
 
 
 # fixed values: words that mark a secret, and the length up to which nothing of it is shown

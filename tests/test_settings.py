@@ -91,3 +91,57 @@ def test_precedence_and_named_records(frame):
     assert [tuple(r) for r in ops.resolve_precedence(c, ["env", "file", "user"]).collect()] == [(1, "f", "file")]
     merged = ops.merge_named_records(frame("name string, url string", ("a", "1"), ("b", "1")), frame("name string, url string", ("b", "2"), ("c", "2")))
     assert sorted(map(tuple, merged.select("name", F.col("url")).collect())) == [("a", "1"), ("b", "2"), ("c", "2")]
+
+
+def expand_plain(text, values, max_depth, path=()):
+    """Plain recursion: (text, None) or (None, leftmost error)."""
+    import re
+
+    if len(path) > max_depth:
+        return None, "depth exceeded"
+    out = []
+    for literal, name, _, default in re.findall(r"([^$]+)|\$\{(\w+)(:-((?:[^{}]|\{[^{}]*\})*))?\}", text):
+        if not name:
+            out.append(literal)
+            continue
+        if name in path:
+            return None, f"circular reference: {name}"
+        inner, error = expand_plain(values.get(name) or default, values, max_depth, (*path, name))
+        if error:
+            return None, error
+        out.append(inner)
+    return "".join(out), None
+
+
+def test_templates_match_recursion(spark):
+    import random
+
+    rng = random.Random(6)
+    names = [f"V{k}" for k in range(12)]
+
+    def text(low):
+        parts = [rng.choice(["a", "/", "x y"])]
+        for _ in range(rng.randrange(0, 4)):
+            name = rng.choice(names[low:] + ["U1", "U2"])
+            parts.append(rng.choice(["${%s}", "${%s:-d}", "${%s:-<${V11}>}", "${%s:-${U2:-u}}"]) % name)
+        return "".join(parts)
+
+    values = {n: text(k + 1) for k, n in enumerate(names)}
+    values |= {"V5": "${V9}${V3}", "V8": ""}  # V3 may lead back to V5
+    templates = sorted({text(0) for _ in range(60)})
+    variables = spark.createDataFrame(list(values.items()), "name string, value string")
+    df = spark.createDataFrame([(t,) for t in templates], "t string")
+    for depth in (10, 2):
+        got = {r.t: (r.expanded, r.error) for r in ops.expand_templates(df, "t", variables, depth).collect()}
+        assert got == {t: expand_plain(t, values, depth) for t in templates}
+
+
+def test_nested_values_are_made_once(spark, monkeypatch):
+    values = [(f"x{k}", f"${{x{k + 1}}}${{x{k + 1}}}") for k in range(9)] + [("x9", "ab")]
+    variables = spark.createDataFrame(values, "name string, value string")
+    df = spark.createDataFrame([("${x0}",), ("${x5}!${x7}",), ("plain",)], "t string")
+    monkeypatch.setattr(ops, "_walked", None)
+    got = {r.t: (r.expanded, r.error) for r in ops.expand_templates(df, "t", variables).collect()}
+    assert got == {"${x0}": ("ab" * 512, None), "${x5}!${x7}": ("ab" * 16 + "!" + "ab" * 4, None), "plain": ("plain", None)}
+    got = {r.t: (r.expanded, r.error) for r in ops.expand_templates(df, "t", variables, max_text=100).collect()}
+    assert got == {"${x0}": (None, "expansion too long"), "${x5}!${x7}": ("ab" * 16 + "!" + "ab" * 4, None), "plain": ("plain", None)}
