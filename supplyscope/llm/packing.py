@@ -22,6 +22,77 @@ from pyspark.sql import functions as F
 from supplyscope.plans.shared import settle
 
 CAPACITY, END_ID, CACHE_WORDS = 2048, 1, 400_000
+MARKS, LATIN = ".,;:!?", "\u024f"
+
+# fixed values: what a tokenizer file must say for its words to be looked up one by one
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_into_words(config: dict) -> bool:
+    """Whether a tokenizer drops white space, never joins over it and takes a run of letters as one piece in any case."""
+    first, *more = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = config["model"]
+    return (
+        (config.get("normalizer") or {}).get("normalizers") == NORMAL
+        and first.get("pattern") == {"Regex": SPLIT}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and [(m.get("type"), m.get("add_prefix_space"), m.get("use_regex")) for m in more] == [("ByteLevel", False, False)]
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and t["content"].startswith("<|") for t in config["added_tokens"])
+    )
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: printable ones stand for themselves, the others for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordIds:
+    """Token ids of words as bytes. Words of Latin letters, and those with one mark behind, go to the merges at once; all
+    others are encoded like a text of their own."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        self.marks = dict(zip(MARKS, self.encode(list(MARKS))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        from array import array
+
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters_only(self, word: str) -> bytes | None:
+        from array import array
+        from unicodedata import normalize
+
+        if not word.isalpha() or max(word) > LATIN:
+            return None
+        if not word.isascii():
+            word = normalize("NFC", word).lower()
+            if not word.isalpha():
+                return None
+            word = word.encode().decode("latin-1").translate(self.letters)
+        else:
+            word = word.lower()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def of(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        stems: dict[str, bytes | None] = {}
+        for word in words:
+            mark = self.marks.get(word[-1], b"")
+            stem = word[:-1] if mark else word
+            if stem not in stems:
+                stems[stem] = self.letters_only(stem) if stem else None
+            known = stems[stem]
+            out.append(None if known is None else known + mark)
+        late = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(late, self.encode([words[k] for k in late])):
+            out[k] = ids
+        return out
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -29,6 +100,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
     """A row for each piece of a document's token ids (the end id included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
         import os
         import zlib
         from array import array
@@ -37,6 +109,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
+        by_word = splits_into_words(json.loads(tokenizer.to_str()))
+        lookup = WordIds(tokenizer)
         known: dict[str, bytes] = {"": b""}
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = array("I", [END_ID]).tobytes()
@@ -47,11 +121,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
                 known.clear()
                 known[""] = b""
                 new = list({w for w in words if w})
-            for word, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = array("I", got.ids).tobytes()
+            known.update(zip(new, lookup.of(new) if by_word else lookup.encode(new)))
 
         def split(text: str) -> list[str]:
-            # white space is dropped by the tokenizer and never crossed by a token, so words can be cut there;
+            if not by_word:  # any other tokenizer gets its texts whole
+                return [text]
             # control strings are recognised in their own case only
             if text.isascii() and "<|" not in text:
                 text = text.lower()
