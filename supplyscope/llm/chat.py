@@ -6,8 +6,10 @@ A turn is written as `<|turn|>role<|text|>text<|end|>`. In roles and texts a bac
 Windows hold whole turns. Prefix sums of turn tokens tell for each turn how many turns before it fit
 the history budget; one fold over the sums opens a new window whenever the next turn would go over
 the budget. A window begins with the leading system turn and the limited history (its context), then
-come its new turns. The loss mask covers the texts of new assistant turns, so each is a target once.
-A turn over the budget gets a window of its own and is never cut.
+come its new turns. History gives way to the first new turn: as many of its latest turns are repeated as leave the window within the
+budget. The loss mask covers the texts of new assistant turns, so each is a target once.
+A turn that does not fit beside the system turn gets a window with that turn only, over the budget, and is never cut. A turn's
+tokens are counted as its words and `OVERHEAD`.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY = 1024, 256
+BUDGET, HISTORY, OVERHEAD = 1024, 256, 4
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
 
@@ -39,7 +41,7 @@ def chat_windows(
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), blank(role_col).alias("role"), blank(text_col).alias("text"))
-    tokens = F.size(F.split(F.trim("text"), r"\s+")).cast("long") + 4
+    tokens = F.size(F.split(F.trim("text"), r"\s+")).cast("long") + OVERHEAD
     in_order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = rows.withColumn("tokens", tokens).withColumn("i", F.row_number().over(in_order) - 1)
     by_place = Window.partitionBy("conv").orderBy("i")
@@ -52,16 +54,24 @@ def chat_windows(
     conv = rows.groupBy("conv").agg(F.sort_array(F.collect_list(kept)).alias("t"))
     system = F.when(F.col("t")[0]["role"] == "system", F.lit(1)).otherwise(F.lit(0))
     conv = conv.withColumn("system", system).withColumn("system_tokens", F.col("system") * F.col("t")[0]["tokens"])
+
+    def earliest(x: Column) -> Column:
+        """First turn of the history that a window with the new turn `x` can hold."""
+        room = F.greatest(F.lit(0).cast("long"), F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("system_tokens") - x["tokens"]))
+        low = F.greatest(x["since"], F.col("system"))
+        before = F.slice("t", low + 1, F.greatest(x["i"] - low, F.lit(0)))
+        return x["i"] - F.size(F.filter(before, lambda y: y["begin"] >= x["begin"] - room))
+
     # (starts of windows, tokens in the last one); context of a window that starts at turn x
-    context = lambda x: F.col("system_tokens") + x["begin"] - F.get("t", F.greatest(x["since"], F.col("system")))["begin"]
+    context = lambda x: F.col("system_tokens") + x["begin"] - F.get("t", earliest(x))["begin"]
     first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("used"))
     fold = lambda acc, x: F.when(
         (acc["used"] + x["tokens"] <= budget) | (x["i"] <= F.col("system")), F.struct(acc["starts"].alias("starts"), (acc["used"] + x["tokens"]).alias("used"))
     ).otherwise(F.struct(F.concat(acc["starts"], F.array(x["i"])).alias("starts"), (context(x) + x["tokens"]).alias("used")))
     conv = conv.withColumn("starts", F.aggregate("t", first, fold, lambda acc: acc["starts"]))
-    each = conv.select("conv", "t", "system", "starts", F.posexplode("starts").alias("window", "s"))
+    each = conv.select("conv", "t", "system", "system_tokens", "starts", F.posexplode("starts").alias("window", "s"))
     stop = F.coalesce(F.get("starts", F.col("window") + 1), F.size("t"))
-    since = F.when(F.col("s") == 0, F.lit(0)).otherwise(F.greatest(F.get("t", F.col("s"))["since"], F.col("system")))
+    since = F.when(F.col("s") == 0, F.lit(0)).otherwise(earliest(F.get("t", F.col("s"))))
     each = each.withColumns({"stop": stop, "since": since})
     lead = F.when(F.col("s") > 0, F.slice("t", F.lit(1), F.col("system"))).otherwise(F.slice("t", F.lit(1), F.lit(0)))
     shown = F.concat(lead, F.slice("t", F.col("since") + 1, F.col("stop") - F.col("since")))
