@@ -122,6 +122,48 @@ def best_match(
     return matched.withColumn("satisfiable", F.col("best").isNotNull())
 
 
+def match_status(matched: DataFrame, constraint: str = "constraint") -> DataFrame:
+    """Adds `status` to the rows of `best_match`: matched, unsatisfiable, or invalid where the constraint does not parse.
+
+    A null constraint is invalid. Only constraints without a match are parsed again.
+    """
+    broken = F.col(constraint).isNull() | constraint_bounds(F.col(constraint)).isNull()
+    status = F.when(F.col("satisfiable"), "matched").when(broken, "invalid").otherwise("unsatisfiable")
+    return matched.withColumn("status", status)
+
+
+# fixed values: names that stand for a version
+STABLE_ALIASES, DEV_ALIASES, SYSTEM_ALIAS = ("stable", "latest-stable", "latest"), ("dev", "latest-dev"), "system"
+
+
+def resolve_aliases(
+    names: DataFrame, aliases: DataFrame, releases: DataFrame, system: str | None = None, ver: str = "version", scheme: str = "triple"
+) -> DataFrame:
+    """(name, version, error) of each distinct name: an alias, with or without `@` before it, or a version.
+
+    The user's `aliases` (name, version; of several the smallest version) come first, then the built-in ones: the newest stable release,
+    the newest release at all, and `system`. Any other name with `@` is an error, without it it is the version itself.
+    """
+    asked = names.select("name").where(F.col("name").isNotNull()).distinct()
+    marked = F.col("name").startswith("@")
+    alias = F.when(marked, F.substring("name", F.lit(2), F.char_length("name"))).otherwise(F.col("name"))
+    given = aliases.groupBy(F.col("name").alias("__alias")).agg(F.min("version").alias("__given"))
+    key = version_key(F.col(ver), scheme)
+    newest = releases.where(key.isNotNull()).agg(F.max_by(ver, key).alias("dev"), F.max_by(F.when(is_stable(F.col(ver)), F.col(ver)), F.when(is_stable(F.col(ver)), key)).alias("stable"))
+    known = asked.withColumn("__alias", alias).join(given, "__alias", "left")
+    built_in = (
+        F.when(F.col("__alias").isin(*STABLE_ALIASES), newest.select("stable").scalar())
+        .when(F.col("__alias").isin(*DEV_ALIASES), newest.select("dev").scalar())
+        .when(F.col("__alias") == SYSTEM_ALIAS, F.lit(system))
+    )
+    special = F.col("__alias").isin(*STABLE_ALIASES, *DEV_ALIASES, SYSTEM_ALIAS)
+    version = F.when(F.col("__given").isNotNull(), F.col("__given")).when(special, built_in).when(~marked, F.col("name"))
+    error = F.when(F.col("__given").isNull() & marked & ~special, F.concat(F.lit("unknown version alias: "), "name")).when(
+        F.col("__given").isNull() & special & built_in.isNull(), F.concat(F.lit("no version for "), "name")
+    )
+    return known.select("name", version.alias("version"), error.alias("error"))
+
+
 def missing_requirements(
     reqs: DataFrame,
     installed: DataFrame,

@@ -137,6 +137,54 @@ def a4(spark, sf):
     return ops.best_match(asked, relation(spark, sf, "package_release"), constraint="constraint_text")
 
 
+define(
+    "rough_requirement",
+    """select req_id, line_no, package, op, version, case when req_id % 7 = 0 then concat(op, ' nonsense') when req_id % 7 = 1 then '>= 99.0.0' else concat(op, ' ', version) end as constraint_text
+    from requirement""",
+)
+define(
+    "version_name",
+    """select case p_partkey % 7 when 0 then 'stable' when 1 then '@latest' when 2 then 'dev' when 3 then concat('@mine', cast(p_partkey % 5 as varchar(9)))
+    when 4 then concat('5.', cast(p_partkey % 40 as varchar(9)), '.0') when 5 then '@system' else concat('@none', cast(p_partkey % 9 as varchar(9))) end as name from part""",
+)
+define("version_alias", "select concat('mine', cast(n_nationkey as varchar(9))) as name, concat('5.', cast(n_nationkey as varchar(9)), '.1') as version from nation where n_nationkey < 4")
+
+
+@book.query(
+    "a4_match_status",
+    ("rough_requirement", "package_release"),
+    f"""with avail as (select package, version, {PARTS.format(v='version')} from package_release),
+    req as (select req_id, line_no, package, op, {PARTS.format(v='version')} from rough_requirement where req_id % 7 > 1),
+    ask as (select distinct package, op, maj, mnr, pat from req),
+    good as (select distinct k.package, k.op, k.maj, k.mnr, k.pat from ask k join avail a on a.package = k.package
+      and case k.op when '>=' then (a.maj, a.mnr, a.pat) >= (k.maj, k.mnr, k.pat)
+        when '<' then (a.maj, a.mnr, a.pat) < (k.maj, k.mnr, k.pat)
+        when '==' then (a.maj, a.mnr, a.pat) = (k.maj, k.mnr, k.pat)
+        else a.maj = k.maj and a.mnr = k.mnr and a.pat >= k.pat end)
+    select r.req_id, r.line_no, case when g.op is not null then 'matched' else 'unsatisfiable' end as status
+    from req r left join good g on r.package = g.package and r.op = g.op and r.maj = g.maj and r.mnr = g.mnr and r.pat = g.pat
+    union all select req_id, line_no, case req_id % 7 when 0 then 'invalid' else 'unsatisfiable' end from rough_requirement where req_id % 7 <= 1""",
+)
+def a4_status(spark, sf):
+    matched = ops.best_match(relation(spark, sf, "rough_requirement"), relation(spark, sf, "package_release"), constraint="constraint_text")
+    return ops.match_status(matched, "constraint_text").select("req_id", "line_no", "status")
+
+
+@book.query(
+    "a6_version_aliases",
+    ("version_name", "version_alias", "package_release"),
+    f"""with v as (select version, {PARTS.format(v='version')} from package_release),
+    n as (select distinct name, ltrim(name, '@') as alias from version_name)
+    select n.name, coalesce(a.version, case when alias in ('stable', 'latest') then (select arg_max(version, (maj, mnr, pat)) from v where mnr % 2 = 0)
+      when alias = 'dev' then (select arg_max(version, (maj, mnr, pat)) from v) when alias = 'system' then '5.1.2' when n.name not like '@%' then n.name end) as version,
+      case when a.version is null and n.name like '@%' and alias not in ('stable', 'latest', 'dev', 'system') then concat('unknown version alias: ', n.name) end as error
+    from n left join version_alias a on a.name = alias""",
+)
+def a6_aliases(spark, sf):
+    names, aliases, releases = (relation(spark, sf, t) for t in ("version_name", "version_alias", "package_release"))
+    return ops.resolve_aliases(names, aliases, releases, system="5.1.2")
+
+
 @book.query(
     "a5_missing_requirements",
     ("requirement", "installed_package"),

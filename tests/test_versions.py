@@ -105,3 +105,21 @@ def test_tags(frame):
         "my-fork-5.40.2": ("5.40.2", "my-fork", None, "up/my-fork-5.40.2"),
         "v5.36": ("5.36.0", "", None, "up/5.36.0"),
     }
+
+
+def test_status_tells_invalid_from_unsatisfiable(frame):
+    requests = frame("package string, constraint string", ("a", ">= 1.0.0"), ("a", ">= 9.0.0"), ("a", ">= nonsense"), ("a", None), ("b", "== 1.0.0"))
+    matched = ops.best_match(requests, frame("package string, version string", ("a", "1.2.0")))
+    got = {(r.package, r["constraint"]): r.status for r in ops.match_status(matched).collect()}
+    assert got == {("a", ">= 1.0.0"): "matched", ("a", ">= 9.0.0"): "unsatisfiable", ("a", ">= nonsense"): "invalid", ("a", None): "invalid", ("b", "== 1.0.0"): "unsatisfiable"}
+
+
+def test_aliases(frame):
+    names = frame("name string", *[(n,) for n in ("stable", "@latest", "@dev", "latest-dev", "work", "@work", "@nope", "5.1.0", "system", "stable", None)])
+    aliases = frame("name string, version string", ("work", "5.30.0"), ("dev", "5.99.9"))
+    releases = frame("version string", ("5.36.0",), ("5.37.2",), ("5.36.10",), ("odd",))
+    got = {r.name: (r.version, r.error) for r in ops.resolve_aliases(names, aliases, releases).collect()}
+    assert got == {
+        "stable": ("5.36.10", None), "@latest": ("5.36.10", None), "@dev": ("5.99.9", None), "latest-dev": ("5.37.2", None), "work": ("5.30.0", None),
+        "@work": ("5.30.0", None), "@nope": (None, "unknown version alias: @nope"), "5.1.0": ("5.1.0", None), "system": (None, "no version for system"),
+    }
