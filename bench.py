@@ -15,7 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "a1_rank_versions", "a2_latest_per_package", "a3_outdated_packages", "a4_best_match", "a5_missing_requirements",
-    "b3_search_documents", "b6_find_executables", "b7_resolve_names", "b8_fuzzy_match", "c1_closure_depth_3", "c3_topological_levels",
+    "b3_search_documents", "b6_find_executables", "b7_resolve_names", "b8_fuzzy_match", "b9_suggest_similar",
+    "c1_closure_depth_3", "c3_topological_levels", "c4_detect_cycles",
     "c5_reverse_dependents", "c6_version_conflicts", "c10_resolve_inheritance", "d1_extract_imports", "d3_parse_manifests",
     "d5_extract_declarations", "d7_locate_offsets", "d8_check_signatures", "f5_expand_templates", "g4_stream_mirror_state", "h2_read_source_tree",
     "d16_tap_results", "e1_install_summary", "e4_operation_metrics", "e7_detect_regressions", "e8_usage_trend",
