@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -115,12 +116,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = array("I", [END_ID]).tobytes()
 
-        def learn(words) -> None:
-            new = list({w for w in words if w not in known})
+        def learn(words: list[str]) -> None:
+            new = [w for w in words if w not in known]
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
                 known[""] = b""
-                new = list({w for w in words if w})
+                new = [w for w in words if w]
             known.update(zip(new, lookup.of(new) if by_word else lookup.encode(new)))
 
         def split(text: str) -> list[str]:
@@ -131,22 +132,29 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
 
+        def token_ids(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+            """Ids of all texts behind one another, and where each text begins. Every different word is looked up once."""
+            words = [split(t) for t in texts]
+            ends = np.cumsum([len(w) for w in words])
+            coded = pa.array([w for some in words for w in some], pa.large_string()).dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            learn(different)
+            cells = [known[w] for w in different]
+            sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+            flat, begins = np.frombuffer(b"".join(cells), "<u4"), np.cumsum(sizes) - sizes
+            at = coded.indices.to_numpy()
+            here = sizes[at]
+            upto = np.concatenate([[0], np.cumsum(here)])
+            ids = flat[np.repeat(begins[at] - upto[:-1], here) + np.arange(upto[-1])]
+            return ids, [0, *upto[ends].tolist()]
+
         for batch in batches:
             for low in range(0, batch.num_rows, 100):
                 some = batch.slice(low, 100)
-                texts = [split(t or "") for t in some.column(1).to_pylist()]
+                all_ids, bounds = token_ids([t or "" for t in some.column(1).to_pylist()])
                 ids, rows = [], []
-                for one, words in zip(some.column(0).to_pylist(), texts):
-                    for k in range(0, len(words), 100_000):
-                        learn(words[k : k + 100_000])
-                    try:
-                        tokens = b"".join([known[w] for w in words]) + end
-                    except KeyError:  # the table was emptied within this long text
-                        tokens = bytearray()
-                        for k in range(0, len(words), 100_000):
-                            learn(words[k : k + 100_000])
-                            tokens += b"".join([known[w] for w in words[k : k + 100_000]])
-                        tokens = bytes(tokens) + end
+                for one, begin, stop in zip(some.column(0).to_pylist(), bounds, bounds[1:]):
+                    tokens = all_ids[begin:stop].tobytes() + end
                     n = len(tokens) // 4
                     for at in range(0, n, capacity):
                         size = min(capacity, n - at)
