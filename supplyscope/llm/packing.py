@@ -12,9 +12,10 @@ their own task plus the number of such pieces in tasks before it.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -52,6 +53,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds:
     """Token ids of words as bytes. Words of Latin letters, and those with one mark behind, go to the merges at once; all
     others are encoded like a text of their own."""
@@ -61,39 +70,43 @@ class WordIds:
         self.marks = dict(zip(MARKS, self.encode(list(MARKS))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def letters_only(self, word: str) -> bytes | None:
-        from array import array
-        from unicodedata import normalize
-
-        if not word.isalpha() or max(word) > LATIN:
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            word = word.lower()
+        elif max(word) > LATIN:
             return None
-        if not word.isascii():
+        else:
             word = normalize("NFC", word).lower()
             if not word.isalpha():
                 return None
             word = word.encode().decode("latin-1").translate(self.letters)
-        else:
-            word = word.lower()
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def of(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        stems: dict[str, bytes | None] = {}
+    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of `words` to `known`; a word with a mark behind takes those of the word without it."""
+        late = []
         for word in words:
-            mark = self.marks.get(word[-1], b"")
-            stem = word[:-1] if mark else word
-            if stem not in stems:
-                stems[stem] = self.letters_only(stem) if stem else None
-            known = stems[stem]
-            out.append(None if known is None else known + mark)
-        late = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(late, self.encode([words[k] for k in late])):
-            out[k] = ids
-        return out
+            mark = self.marks.get(word[-1])
+            if mark is None or len(word) == 1:
+                ids, mark = self.letters_only(word), b""
+            else:
+                stem = word[:-1]
+                ids = known.get(stem)
+                if ids is None and (ids := self.letters_only(stem)) is not None:
+                    known[stem] = ids
+                elif not stem.isalpha():  # its last letters and the mark may be one piece
+                    ids = None
+            if ids is None:
+                late.append(word)
+            else:
+                known[word] = ids + mark
+        known.update(zip(late, self.encode(late)))
+
+
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -104,7 +117,6 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
         import json
         import os
         import zlib
-        from array import array
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -116,45 +128,41 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = array("I", [END_ID]).tobytes()
 
-        def learn(words: list[str]) -> None:
-            new = [w for w in words if w not in known]
+        def learn(words) -> None:
+            new = list({w for w in words if w not in known})
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
                 known[""] = b""
-                new = [w for w in words if w]
-            known.update(zip(new, lookup.of(new) if by_word else lookup.encode(new)))
+                new = list({w for w in words if w})
+            if by_word:
+                lookup.learn(new, known)
+            else:
+                known.update(zip(new, lookup.encode(new)))
 
         def split(text: str) -> list[str]:
             if not by_word:  # any other tokenizer gets its texts whole
                 return [text]
-            # control strings are recognised in their own case only
-            if text.isascii() and "<|" not in text:
+            # control strings are recognised in their own case only; these letters are lowered one by one
+            if "<|" not in text and (text.isascii() or in_latin_1(text)):
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
 
-        def token_ids(texts: list[str]) -> tuple[np.ndarray, list[int]]:
-            """Ids of all texts behind one another, and where each text begins. Every different word is looked up once."""
-            words = [split(t) for t in texts]
-            ends = np.cumsum([len(w) for w in words])
-            coded = pa.array([w for some in words for w in some], pa.large_string()).dictionary_encode()
-            different = coded.dictionary.to_pylist()
-            learn(different)
-            cells = [known[w] for w in different]
-            sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
-            flat, begins = np.frombuffer(b"".join(cells), "<u4"), np.cumsum(sizes) - sizes
-            at = coded.indices.to_numpy()
-            here = sizes[at]
-            upto = np.concatenate([[0], np.cumsum(here)])
-            ids = flat[np.repeat(begins[at] - upto[:-1], here) + np.arange(upto[-1])]
-            return ids, [0, *upto[ends].tolist()]
-
         for batch in batches:
             for low in range(0, batch.num_rows, 100):
                 some = batch.slice(low, 100)
-                all_ids, bounds = token_ids([t or "" for t in some.column(1).to_pylist()])
+                texts = [split(t or "") for t in some.column(1).to_pylist()]
                 ids, rows = [], []
-                for one, begin, stop in zip(some.column(0).to_pylist(), bounds, bounds[1:]):
-                    tokens = all_ids[begin:stop].tobytes() + end
+                for one, words in zip(some.column(0).to_pylist(), texts):
+                    for k in range(0, len(words), 100_000):
+                        learn(words[k : k + 100_000])
+                    try:
+                        tokens = b"".join([known[w] for w in words]) + end
+                    except KeyError:  # the table was emptied within this long text
+                        tokens = bytearray()
+                        for k in range(0, len(words), 100_000):
+                            learn(words[k : k + 100_000])
+                            tokens += b"".join([known[w] for w in words[k : k + 100_000]])
+                        tokens = bytes(tokens) + end
                     n = len(tokens) // 4
                     for at in range(0, n, capacity):
                         size = min(capacity, n - at)
