@@ -1,8 +1,8 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text.
 
 Symbols are the UTF-16 units of a text, after three start symbols and before an end symbol, so a
-4-gram is one long: its context and its suffix are shifts and masks of it. The model is fitted on at
-most `TRAIN_DOCS` documents that the labels call good and not toxic. Lower orders count distinct left
+4-gram is one long: its context and its suffix are shifts and masks of it. The model is fitted on all
+documents that the labels call good and not toxic. Lower orders count distinct left
 neighbours; each order has its own three discounts from its counts of counts. Every step of it is an
 aggregation or an equality join of counts.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from supplyscope.llm import blobs
 from supplyscope.plans.shared import settle
 
-ORDER, TRAIN_DOCS, BLOCK, GROUP = 4, 20_000, 1024, 1 << 20
+ORDER, BLOCK, GROUP = 4, 1024, 1 << 20
 QUANTILE, MARGIN, MIN_UNITS = 0.99, 1.25, 100
 FIRST, LAST = 2, 3
 
@@ -209,7 +209,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str, text_col: str, keep
 
 def quality_classifier(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, margin: float = MARGIN, min_units: int = MIN_UNITS,
+    quantile: float = QUANTILE, margin: float = MARGIN, min_units: int = MIN_UNITS,
 ) -> DataFrame:
     """(id, lang, n_units, perplexity, limit, kept), a row for each row of `docs`.
 
@@ -217,11 +217,10 @@ def quality_classifier(
     without trusted documents has no limit (null), and its documents are kept, as are texts of fewer than
     `min_units` units, whose perplexity says little. Null texts are empty.
     """
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct()
-    some = settle(trusted.orderBy(F.xxhash64("t_id"), "t_id").limit(train_docs))  # at most train_docs ids
+    trusted = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct())
     text = F.col(text_col).cast("binary").alias("text")
     place = F.floor(F.monotonically_increasing_id() / BLOCK).cast("long").alias("block")
-    fit = docs.join(F.broadcast(some), docs[id_col] == some["t_id"], "left_semi").select(place, text)
+    fit = docs.join(trusted, docs[id_col] == trusted["t_id"], "left_semi").select(place, text)
     model = Model(count_grams(fit))
     scored = settle(perplexities(docs, model, id_col, text_col, [lang_col]))
     good = scored.join(trusted, scored[id_col] == trusted["t_id"], "left_semi")

@@ -329,6 +329,16 @@ def test_quality_classifier(spark, odd, nothing):
     assert kneser_ney.quality_classifier(odd, labels).count() == 12 and kneser_ney.quality_classifier(nothing, labels.limit(0)).count() == 0
 
 
+def test_quality_model_counts_every_trusted_text(spark, monkeypatch):
+    made, init = [], kneser_ney.Model.__init__
+    monkeypatch.setattr(kneser_ney.Model, "__init__", lambda self, counts: made.append(counts.agg({"c": "sum"}).first()[0]) or init(self, counts))
+    n = 20_100
+    docs = spark.createDataFrame([(k, "ab", "en") for k in range(n)], "doc_id long, text string, lang string")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    kneser_ney.quality_classifier(docs, labels)
+    assert made == [3 * n]
+
+
 def test_compact_windows_are_the_wide_nodes():
     rng = np.random.default_rng(7)
     tokens = rng.integers(0, 40, 300).astype(np.uint64)
