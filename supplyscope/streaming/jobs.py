@@ -42,6 +42,8 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     An empty list accepts everything; an event without component only fits subscriptions
     that do not ask for one. Both sides spell out what they offer or ask for, as pairs
     (any value will do, value), so that the match is an equality join on three pairs.
+    An event has a row for every subscriber that it fits, so a small file of events is a lot of work:
+    events are dealt over all tasks before, whatever files and row groups they lie in.
     """
     kinds = ("type", "source", "component")
     anything = F.struct(F.lit(True).alias("any"), F.lit("").alias("value"))
@@ -62,7 +64,7 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
         given = F.when(own != "", F.array(exactly(own), anything)).otherwise(F.array(anything))
         return F.explode(given)
 
-    offered = events
+    offered = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for kind in kinds:
         offered = offered.withColumn(f"__{kind}", offers(kind))
     keys = [f"__{k}" for k in kinds]

@@ -92,6 +92,14 @@ def test_routes_join_by_equality(frame):
     assert "NestedLoop" not in jobs.route_events(events, subs)._jdf.queryExecution().toString()
 
 
+def test_routes_are_made_by_all_tasks(spark, frame):
+    events = frame("event_id int, type string, source string, component string", *[(k, "x", "s", "c") for k in range(800)]).coalesce(1)
+    subs = frame("id int, types array<string>, sources array<string>, components array<string>, active boolean", (9, ["x"], [], [], True), (8, [], [], [], True))
+    task = F.spark_partition_id().alias("task")
+    made = [r["count"] for r in jobs.route_events(events, subs.hint("broadcast")).groupBy(task).count().collect()]
+    assert sum(made) == 1600 and len(made) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_alerts_can_be_off(frame):
     df = frame("alloc_bytes long", (1,), (100,))
     assert jobs.threshold_alerts(df, 50).count() == 1
