@@ -116,3 +116,21 @@ def test_shared_folder_follows_the_session(spark):
     before = shared.shared_folder(spark)
     spark.conf.set("spark.some.other", "1")
     assert shared.shared_folder(spark) == before
+
+
+def test_rounds_are_not_broadcast(spark, frame, monkeypatch):
+    from supplyscope.operators.graph import _sets_of_core
+    from supplyscope.operators.reachability import subtree_sizes
+    from supplyscope.plans.doubling import follow
+    from supplyscope.plans.shared import Stage, settle
+
+    edges = settle(frame("src long, dst long", (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 5)))
+    tree = settle(frame("node long, up long", (1, None), (2, 1), (3, 2), (4, 2)))
+    links = settle(frame("node long, next long, n long", (1, 2, 1), (2, 3, 1), (3, None, 1)))
+    plans, add = [], Stage.add
+    monkeypatch.setattr(Stage, "add", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), add(self, df))[1])
+    sets = sorted(map(tuple, _sets_of_core(edges).groupBy("set").agg({"node": "count"}).select("count(node)").collect()))
+    sizes = sorted((r.node, r.size) for r in subtree_sizes(tree).collect())
+    ended, _ = follow(links, {"n": lambda first, rest: first["n"] + rest["n"]})
+    assert (sets, sizes, sorted((r.node, r.n) for r in ended.collect())) == ([(2,), (3,)], [(1, 4), (2, 3), (3, 1), (4, 1)], [(1, 3), (2, 2), (3, 1)])
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
