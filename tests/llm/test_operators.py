@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on small and odd tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -294,6 +295,33 @@ def test_pitman_yor(spark, odd, nothing):
     assert pitman_yor.pitman_yor_scores(odd).count() == 12 and pitman_yor.pitman_yor_scores(nothing).count() == 0
 
 
+def doc_ids(n, held):
+    """The first `n` ids from 0 that are held out, or that are not."""
+    return list(itertools.islice((k for k in itertools.count() if (zlib.crc32(str(k).encode()) % 10 == 0) == held), n))
+
+
+@pytest.mark.parametrize("share", [2.0, 0.01, 1e-9])
+def test_rare_words_are_contexts(spark, share):
+    """No word is frequent, the end is, all are: a context says the same of the next word."""
+    texts = [f"x{k} y{k}" for k in range(200) for _ in range(2)]
+    asked = [f"x{k} y{(k + j) % 200}" for j in (0, 1) for k in range(200)] + ["nowhere y1"]
+    rows = [*zip(doc_ids(len(texts), False), texts), *zip(doc_ids(len(asked), True), asked)]
+    scores = {r["doc_id"]: r["score"] for r in pitman_yor.pitman_yor_scores(spark.createDataFrame(rows, "doc_id long, text string"), share=share, block=37).collect()}
+    got = [scores[k] for k in doc_ids(len(asked), True)]
+    right, wrong = np.mean(got[:200]), np.mean(got[200:400])
+    # two of the one or two customers' tables of x, against one of 200 kinds of word in the parent
+    assert right > wrong + 1.5 and got[400] < right
+
+
+@pytest.mark.parametrize("share", [2.0, 1e-9])
+def test_pitman_yor_sums_to_one(spark, share):
+    texts = ["a", "a b", "b", "c", "", "a b c", "b", "a", "c c", "a b", "b a"] * 5
+    every = [" ".join(t) for n in range(7) for t in itertools.product("abcu", repeat=n)]
+    rows = [*zip(doc_ids(len(texts), False), texts), *zip(doc_ids(len(every), True), every)]
+    got = pitman_yor.pitman_yor_scores(spark.createDataFrame(rows, "doc_id long, text string"), share=share).where("held_out").collect()
+    assert len(got) == len(every) and 0.97 < sum(10 ** r["score"] for r in got) < 1.0001
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(1)
     many = np.full(20_000, 12)
