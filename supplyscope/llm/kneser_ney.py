@@ -93,14 +93,17 @@ def _by_shard(texts: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(placed: DataFrame) -> DataFrame:
-    """(gram, c) of all texts of (block, text)."""
+    """(gram, c) of all texts of (block, text); with a column `mark`, its sum over the rows is that over the grams."""
+    extra = placed.columns[2:]
 
     def run(batches):
-        for _, (texts,) in _in_blocks(batches, 1):
+        for _, (texts, *marks) in _in_blocks(batches, 1 + len(extra)):
             keys, counts = _distinct(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
+            columns = [keys.view(np.int64), counts, *[np.append(sum(m), np.zeros(len(keys) - 1, np.int64)) for m in marks]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "c", *extra])
 
-    return placed.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    names = ["c", *extra]
+    return placed.mapInArrow(run, "gram long" + "".join(f", {n} long" for n in names)).groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _mask(order: int) -> Column:
@@ -112,6 +115,7 @@ class Model:
 
     def __init__(self, counts: DataFrame):
         level = {ORDER: settle(counts)}
+        self.counts = level[ORDER]
         for k in range(ORDER - 1, 0, -1):
             level[k] = settle(level[k + 1].groupBy(F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
         self.p, self.gamma = {}, {}
@@ -153,6 +157,23 @@ class Model:
         return rows.select("gram", F.log(chance).alias("logp"))
 
 
+def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(block, text, mark) of all documents with an id of `trusted` (t_id), and the sum of the marks.
+
+    Only ids are shuffled: they leave a bit for each row of `docs`, 64 rows in one row of 16 bytes that is sent to
+    all tasks, and the texts are read where they lie. Marks are hashes of the ids; their sum shows whether a row had
+    the same number both times.
+    """
+    mark = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)).alias("mark")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), mark, F.col(text_col).cast("binary").alias("text"))
+    word, bit = F.shiftright("row", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row", F.lit(64)).cast("int"))
+    met = rows.select("row", "id", "mark").join(trusted, F.col("id") == F.col("t_id"), "left_semi")
+    bits = settle(met.groupBy(word).agg(F.bit_or(bit).alias("bits"), F.sum("mark").alias("marks")))
+    total = bits.agg(F.sum("marks")).first()[0] or 0
+    chosen = rows.select("row", word, "mark", "text").join(F.broadcast(bits.select("word", "bits")), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return chosen.select(F.floor(F.col("row") / BLOCK).cast("long").alias("block"), "text", "mark"), total
+
+
 def perplexities(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str], block: int = BLOCK) -> DataFrame:
     """(id, `keep`, n_units, perplexity), a row for each row of `docs`; an empty text has its end symbol."""
     place = F.floor(F.monotonically_increasing_id() / block).cast("long").alias("block")
@@ -218,10 +239,10 @@ def quality_classifier(
     `min_units` units, whose perplexity says little. Null texts are empty.
     """
     trusted = settle(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct())
-    text = F.col(text_col).cast("binary").alias("text")
-    place = F.floor(F.monotonically_increasing_id() / BLOCK).cast("long").alias("block")
-    fit = docs.join(trusted, docs[id_col] == trusted["t_id"], "left_semi").select(place, text)
+    fit, marks = trusted_texts(docs, trusted, id_col, text_col)
     model = Model(count_grams(fit))
+    if (model.counts.agg(F.sum("mark")).first()[0] or 0) != marks:
+        raise RuntimeError("rows have other numbers than when the trusted ones were marked: give a table that reads the same each time")
     scored = settle(perplexities(docs, model, id_col, text_col, [lang_col]))
     good = scored.join(trusted, scored[id_col] == trusted["t_id"], "left_semi")
     limits = good.groupBy(F.col(lang_col).alias("l_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("limit"))

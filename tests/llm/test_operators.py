@@ -335,6 +335,27 @@ def test_seating_follows_the_process():
     assert (pitman_yor.seat(np.array([0, 1, 5000]), np.array([1.0, 1.0, 1.0]), 0.3, rng)[:2] == [0, 1]).all()
 
 
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_trusted_texts_are_not_shuffled(spark, tmp_path, limit):
+    rows = [(None if k == 3 else k // 2, None if k == 8 else f"text {k}") for k in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 250, 3)] + [(1000,)], "t_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        fit, marks = kneser_ney.trusted_texts(docs, trusted, "doc_id", "text")
+        plan = fit._jdf.queryExecution().executedPlan().toString()
+        got = fit.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [t for i, t in rows if i is not None and i % 3 == 0]
+    assert sorted(str(r["text"] and bytes(r["text"]).decode()) for r in got) == sorted(map(str, want)) and sum(r["mark"] for r in got) == marks
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    counts = kneser_ney.count_grams(fit)
+    assert counts.agg({"mark": "sum"}).first()[0] == marks
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = [some_words(k, 40).encode() for k in range(30)]
     docs = spark.createDataFrame([(0, t) for t in texts], "block long, text binary")
