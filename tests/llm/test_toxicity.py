@@ -97,6 +97,66 @@ def test_finds_held_out_toxic_texts(spark, model):
         assert len(found & toxic) >= 0.9 * len(toxic) and len(found - toxic) <= 0.05 * len(docs)
 
 
+def test_long_texts_are_learned_from(spark):
+    """The toxic stems stand in texts of more than 20,000 characters only."""
+    from pyspark.sql import functions as F
+
+    docs, labels = made_corpus(300, 6)
+    filler = "bada " * 4500
+    long = [(d[0], d[1] + " " + filler if label[2] else d[1], *d[2:]) for d, label in zip(docs, labels)]
+    model = ops.fit(spark.createDataFrame(long, DOCS), spark.createDataFrame(labels, LABELS), F.lit(True))
+    fresh, truth = made_corpus(200, 7)
+    got = {r["doc_id"]: r["score"] for r in ops.score_texts(spark.createDataFrame(fresh, DOCS), model).collect()}
+    toxic = {d for d, _, t, *_ in truth if t}
+    assert sum(got[d] >= 0.3 for d in toxic) >= 0.9 * len(toxic)
+    assert sum(got[d] >= 0.3 for d in got.keys() - toxic) <= 0.05 * len(got)
+
+
+def test_shards_train_one_network(spark, monkeypatch):
+    """Each shard has a few documents; a document on its own is no shard's whole knowledge."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ops, "SHARD_DOCS", 60)
+    docs, labels = made_corpus(600, 1)
+    model = ops.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), F.lit(True))
+    fresh, truth = made_corpus(300, 8)
+    got = {r["doc_id"]: r["score"] for r in ops.score_texts(spark.createDataFrame(fresh, DOCS), model).collect()}
+    toxic = {d for d, _, t, *_ in truth if t}
+    assert sum(got[d] >= 0.3 for d in toxic) >= 0.9 * len(toxic)
+    assert sum(got[d] >= 0.3 for d in got.keys() - toxic) <= 0.05 * len(got)
+
+
+def test_every_labelled_document_is_counted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ops, "CHUNK", 3)
+    monkeypatch.setattr(ops, "HELD_FEATURES", 50)
+    texts = ["abc abc", "ABC de", None, "", "abcd", "de " * 9000, "abc", "xyz"]
+    docs = [(k, t, "x", "s", 1, "i", 0.5, "o") for k, t in enumerate(texts)]
+    docs += [(0, "abc twice", "x", "s", 1, "i", 0.5, "o"), (None, "abc", "x", "s", 1, "i", 0.5, "o")]
+    labels = [(k, 1, int(k in (1, 5)), "t", "l") for k in range(7)] + [(5, 1, 0, "t", "l"), (99, 1, 1, "t", "l"), (None, 1, 1, "t", "l")]
+    rows, n, shares = ops.labelled_texts(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), F.lit(True), "doc_id", "text", "lang")
+    assert sum(n.values()) == 8 and sum(v for (_, toxic), v in n.items() if toxic) == 2 and shares == (5, 3)
+    got = {r["feature"]: (r["n"], r["bad"]) for r in ops.count_features(rows).collect()}
+    word = lambda w: int(ops.features([w])[0].view(np.int64)[0])
+    assert got[word("abc")] == (4, 1) and got[word("de")] == (2, 2) and got[word("abcd")] == (1, 0) and word("xyz") not in got
+
+
+def test_compact_texts_have_the_same_answers():
+    rng = np.random.default_rng(4)
+    number = {"": (), "o": (), "bad": (0,), "worse": (0, 1)}
+    params = ops.first_params(np.ones(2), 5)
+    for params_bias in params[4:7]:
+        params_bias[:] = rng.normal(size=ops.FILTERS)
+    for _ in range(60):
+        words = [str(w) for w in rng.choice(["o", "o", "o", "bad", "worse"], int(rng.integers(0, 25)))]
+        full = [number[w] for w in words or [""]]
+        plain = ops.Examples([np.array([x for w in full for x in (len(w), *w)], "<i4").tobytes()])
+        short = ops.Examples([np.array(ops.compact(words, number), "<i4").tobytes()])
+        assert np.allclose(plain.logits(params), short.logits(params), atol=1e-5)
+        assert len(short.docs[0]) <= max(len(words), 1)
+
+
 def test_odd_rows(spark, model):
     docs = [(1000 + d[0], *d[1:]) for d in made_corpus(3, 3)[0]]
     long = "Bada " * 130_000 + "zorguba " + "dilo " * 60_000
