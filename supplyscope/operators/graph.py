@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyscope.plans.doubling import follow
-from supplyscope.plans.ordered import first_in_group
+from supplyscope.plans.ordered import first_in_group, rank_in_group
 from supplyscope.plans.shared import Stage, by_shuffle, settle
 from supplyscope.plans.skew import keep_unseen
 
+#: levels of a graph that are closed one by one before the rest is walked from its roots
+LEVELS = 64
+#: a step in a number of depth and label
+STEP = 1 << 40
+
 
 def clean_edges(edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Distinct edges; with `keep`, the smallest values of those columns per edge."""
@@ -27,6 +32,62 @@ def clean_edges(edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return least.select("src", "dst", "k.*")
 
 
+def _walk(starts: DataFrame, step: DataFrame, max_depth: int = 0) -> DataFrame:
+    """(root, pkg, depth, label): what each of `starts` (root) reaches along `step` (src, dst, label), round by round."""
+    known = Stage(step.sparkSession)
+    front = known.add(starts.select("root", F.col("root").alias("pkg"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("label")))
+    depth = 0
+    while not front.isEmpty() and (max_depth == 0 or depth < max_depth):
+        depth += 1
+        reached = front.select("root", F.col("pkg").alias("src")).join(step, "src")
+        # one row per (root, package), combined before the shuffle
+        fresh = reached.groupBy("root", F.col("dst").alias("pkg")).agg(F.min("label").alias("label"))
+        front = known.add(keep_unseen(fresh.select("root", "pkg", F.lit(depth).alias("depth"), "label"), known.all(), ["root", "pkg"]))
+    return known.all()
+
+
+def _closed_from_below(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """(root, pkg, depth, label): what each src of `edges` (src, dst, label) with a level of its own reaches, itself at 0.
+
+    A node's rows are the rows of its dst, one step further, so that each row is shuffled once for each edge that it passes and no
+    known row is looked up again. A round closes a level: of the rows that came for a node the least counts, which is kept
+    and sent to the node's users, in folders by the level at which they wait. Depth and label are one number, the depth first.
+    """
+    spark = edges.sparkSession
+    base = f"{Stage(spark).base}-levels"
+    above = levels.select(F.col("node").alias("src"), F.col("level").alias("at"))
+    below = levels.select(F.col("node").alias("dst"), "level")
+    users = edges.join(by_shuffle(above), "src").join(by_shuffle(below), "dst").select("level", "dst", F.col("src").alias("user"), "label", "at")
+    kept = levels.select("level", F.col("node").alias("dst"), F.lit(None).cast(edges.schema["src"].dataType).alias("user"), F.lit(0).cast("long").alias("label"), F.lit(-1).alias("at"))
+    users = settle(users.unionByName(kept))
+    own = levels.select("level", F.col("node").alias("root"), F.col("node").alias("pkg"), F.lit(0).cast("long").alias("best"))
+    rows = None
+    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+        waiting = own.where(F.col("level") == level).drop("level")
+        if rows is not None:
+            waiting = waiting.unionByName(spark.read.schema(rows).parquet(base).where(F.col("at") == level).select("root", "pkg", "best"))
+        # by the root alone: the join below finds the rows where they are
+        closed = waiting.repartition("root").groupBy("root", "pkg").agg(F.min("best").alias("best"))
+        sent = closed.join(by_shuffle(users.where(F.col("level") == level)), F.col("root") == F.col("dst"))
+        further = F.when(F.col("best") == 0, F.col("label")).otherwise(F.col("best")) + STEP
+        out = sent.select(
+            F.when(F.col("at") < 0, F.col("root")).otherwise(F.col("user")).alias("root"), "pkg", F.when(F.col("at") < 0, F.col("best")).otherwise(further).alias("best"), "at"
+        )
+        out.write.partitionBy("at").parquet(f"{base}/round={level}")
+        rows = rows or out.withColumn("round", F.lit(level)).schema
+    done = spark.read.schema(rows).parquet(base).where("at = -1 and round > 0")
+    return done.select("root", "pkg", F.floor(F.col("best") / STEP).cast("int").alias("depth"), F.pmod("best", F.lit(STEP)).alias("label"))
+
+
+def _all_closures(starts: DataFrame, step: DataFrame) -> DataFrame:
+    """`_walk` from all nodes that need any: what leads to no cycle is closed from below, up to `LEVELS` levels, and the rest walked."""
+    edges = settle(step.where("src <> dst"))
+    levels = settle(_place(_ends(edges, "dst", "src"), edges.select("src", "dst", F.lit(1).alias("weight")), LEVELS))
+    rest = settle(starts.join(by_shuffle(levels.where("level > 0").select(F.col("node").alias("root"))), "root", "left_anti"))
+    closed = _closed_from_below(edges, levels)
+    return closed if rest.isEmpty() else closed.unionByName(_walk(rest, edges))
+
+
 def transitive_closure(
     edges: DataFrame,
     roots: DataFrame | None = None,
@@ -41,7 +102,6 @@ def transitive_closure(
     `max_depth` 0 is no bound, `labels` are edge columns to report for the edge by which
     a package was first reached (the smallest if several are).
     """
-    spark = edges.sparkSession
     used = edges
     if phases is not None:
         used = used.where(F.col("phase").isin(list(phases)))
@@ -49,21 +109,24 @@ def transitive_closure(
         used = used.join(core.select(F.col("pkg").alias("dst")), "dst", "left_anti")
     step = settle(clean_edges(used, labels))
     starts = roots.select("root").distinct() if roots is not None else step.select(F.col("src").alias("root")).distinct()
-    empty = [F.lit(None).cast(step.schema[c].dataType).alias(c) for c in labels]
-    known = Stage(spark)
-    front = known.add(starts.select("root", F.col("root").alias("pkg"), F.lit(0).alias("depth"), *empty))
-    depth = 0
-    while not front.isEmpty() and (max_depth == 0 or depth < max_depth):
-        depth += 1
-        reached = front.select("root", F.col("pkg").alias("src")).join(step, "src")
-        # one row per (root, package), combined before the shuffle
-        if labels:
-            fresh = reached.groupBy("root", F.col("dst").alias("pkg")).agg(F.min(F.struct(*labels)).alias("k"))
-            fresh = fresh.select("root", "pkg", F.lit(depth).alias("depth"), "k.*")
-        else:
-            fresh = reached.select("root", F.col("dst").alias("pkg")).distinct().withColumn("depth", F.lit(depth))
-        front = known.add(keep_unseen(fresh, known.all(), ["root", "pkg"]))
-    return known.all()
+    numbered = step.select("src", "dst", F.lit(0).cast("long").alias("label"))
+    if labels:
+        # labels are numbered in their order and walk as numbers
+        names = settle(rank_in_group(step.select(*labels).distinct(), [], list(labels), "__label"))
+        same = F.lit(True)
+        for c in labels:
+            same = same & step[c].eqNullSafe(names[c])
+        numbered = settle(step.join(names, same).select("src", "dst", F.col("__label").alias("label")))
+    whole = roots is None and max_depth == 0
+    reached = _all_closures(starts, numbered) if whole else _walk(starts, numbered, max_depth)
+    if whole and not (unknown := numbered.where("dst is null and src is not null")).isEmpty():
+        # a null dst is no node: it is reached anew at each depth
+        ways = reached.join(unknown.select(F.col("src").alias("pkg"), F.col("label").alias("own")), "pkg")
+        last = ways.groupBy("root", (F.col("depth") + 1).alias("depth")).agg(F.min("own").alias("label"))
+        reached = reached.unionByName(last.select("root", F.lit(None).cast(step.schema["dst"].dataType).alias("pkg"), "depth", "label"))
+    if not labels:
+        return reached.drop("label")
+    return reached.withColumnRenamed("label", "__label").join(names, "__label", "left").select("root", "pkg", "depth", *labels)
 
 
 def flatten_dependencies(closure: DataFrame, constraint: str = "constraint", phase: str = "phase") -> DataFrame:
@@ -127,19 +190,20 @@ def contract_runs(edges: DataFrame) -> tuple[DataFrame, list[_Runs]]:
         edges = settle(passed.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
 
 
-def _place(starts: DataFrame, edges: DataFrame) -> DataFrame:
+def _place(starts: DataFrame, edges: DataFrame, rounds: int = 0) -> DataFrame:
     """(node, level): `starts` at 0, then every node of `edges` (src, dst, weight) all of whose dst are placed, by its longest way.
 
     Each edge knows how many edges leave its src. A round counts the edges that the nodes of the round before close,
     together with the counts of nodes that are closed in part, in one job: nodes not yet reached are not touched. A node is
     in front once, so that fronts small enough for a broadcast are no more than the nodes in all rounds together.
+    `rounds` 0 is no bound; with one, the nodes placed by then come out.
     """
     counts = edges.groupBy("src").agg(F.count(F.lit(1)).alias("needs"))
     known = settle(edges.join(by_shuffle(counts), "src"))
     states = Stage(edges.sparkSession)
     first = starts.select("node", F.lit(0).cast("long").alias("closed"), F.lit(0).cast("long").alias("needs"), F.lit(0).alias("level"))
     state, seen = states.add_counted(first, placed=F.count(F.lit(1)))
-    while seen["placed"]:
+    while seen["placed"] and (not rounds or len(states.paths) <= rounds):
         front = state.where("closed = needs").select(F.col("node").alias("dst"), "level")
         reached = known.join(front, "dst").select(F.col("src").alias("node"), F.lit(1).cast("long").alias("closed"), "needs", (F.col("level") + F.col("weight")).cast("int").alias("level"))
         waiting = state.where("closed < needs").unionByName(reached)

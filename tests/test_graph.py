@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from supplyscope.operators import graph as ops
 
 
@@ -36,6 +38,57 @@ def test_closure_matches_brute_force(spark):
     assert closure(ops.transitive_closure(edges)) == want
 
 
+def nearest(pairs, keep=lambda e: True):
+    """{(root, pkg): (depth, least label of a last edge)} by breadth first."""
+    out, want = {}, {}
+    for s, d, label in pairs:
+        if keep((s, d, label)):
+            out.setdefault(s, []).append((d, label))
+    for root in out:
+        front, depth = {root: None}, 0
+        while front:
+            want.update({(root, n): (depth, label) for n, label in front.items()})
+            depth += 1
+            ways = [(d, label) for n in front for d, label in out.get(n, ()) if (root, d) not in want]
+            front = {d: min((x for n, x in ways if n == d), key=lambda x: (x is not None, x)) for d, _ in ways}
+    return want
+
+
+def test_closures_of_all_roots_as_breadth_first(spark, monkeypatch):
+    """With cycles, edges to oneself, repeated edges, null labels, and more levels than are closed from below."""
+    import random
+
+    rng = random.Random(3)
+    down = [(n, rng.randrange(n), rng.choice(["x", "y", None])) for n in range(1, 60) for _ in range(rng.randrange(4))]
+    loose = [(100 + rng.randrange(20), 100 + rng.randrange(20), rng.choice("abc")) for _ in range(30)]
+    mixed = [(130 + k, rng.randrange(60), "z") for k in range(5)] + [(7, 7, "a"), (100, 3, "q"), (3, 2, "w")] + [(200, 200, "a")]
+    pairs = down + loose + mixed
+    edges = spark.createDataFrame(pairs, "src long, dst long, label string")
+    for levels in (64, 3):
+        monkeypatch.setattr(ops, "LEVELS", levels)
+        rows = ops.transitive_closure(edges, labels=["label"]).collect()
+        got = {(r.root, r.pkg): (r.depth, r.label) for r in rows}
+        assert got == nearest(pairs) and len(rows) == len(got)
+        plain = ops.transitive_closure(edges).collect()
+        assert {(r.root, r.pkg): r.depth for r in plain} == {k: d for k, (d, _) in got.items()} and len(plain) == len(got)
+
+
+def test_closures_do_not_look_up_known_rows(frame, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("known rows are read again")
+
+    monkeypatch.setattr(ops, "keep_unseen", refuse)
+    edges = frame("src long, dst long", *[(n, n // k) for n in range(1, 40) for k in (2, 3) if n >= k])
+    assert closure(ops.transitive_closure(edges)) == {k: d for k, (d, _) in nearest([(n, n // k, "") for n in range(1, 40) for k in (2, 3) if n >= k]).items()}
+
+
+def test_closures_with_null_ends(frame):
+    edges = frame("src string, dst string", ("a", "b"), ("b", None), ("a", None), (None, "c"), ("d", None))
+    got = sorted(tuple(r) for r in ops.transitive_closure(edges).select("depth", F.coalesce("root", F.lit("?")), F.coalesce("pkg", F.lit("?"))).collect())
+    assert got == [(0, "?", "?"), (0, "a", "a"), (0, "b", "b"), (0, "d", "d"), (1, "a", "?"), (1, "a", "b"), (1, "b", "?"), (1, "d", "?"), (2, "a", "?")]
+    assert ops.transitive_closure(frame("src string, dst string")).collect() == []
+
+
 def test_flatten_labels(frame):
     edges = frame("src string, dst string, constraint string, phase string", ("a", "b", ">= 1", "test"), ("a", "c", "0", "runtime"))
     labelled = ops.transitive_closure(edges, frame("root string", ("a",)), labels=["constraint", "phase"])
