@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,19 @@ def _finish(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _finish_by_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run `work` on the micro-batches of what is there now, each into a folder of its own that a second try overwrites, and read the result."""
+    spark = stream.sparkSession
+    base, schema = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", work(spark.createDataFrame([], stream.schema)).schema
+
+    def write(rows: DataFrame, number: int) -> None:
+        work(rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    write(spark.createDataFrame([], stream.schema), -1)  # the result of a stream without rows
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
+
+
 def _subscriptions(spark, sf) -> DataFrame:
     df = relation(spark, sf, "subscription")
     for name in ("types", "sources", "components"):
@@ -77,7 +91,8 @@ def g1_stream(spark, sf):
         F.concat(F.lit("s"), F.col("user_id") % 7).alias("source"),
         F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("c"), F.col("user_id") % 3)).alias("component"),
     )
-    return _finish(jobs.route_events(named, _subscriptions(spark, sf)).select("event_id", "subscriber"))
+    subscribers = _subscriptions(spark, sf)
+    return _finish_by_batch(named, lambda rows: jobs.route_events(rows, subscribers).select("event_id", "subscriber"))
 
 
 ALERTS = "select event_id, duration from op_event where duration > 90"

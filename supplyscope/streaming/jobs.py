@@ -18,9 +18,15 @@ from pyspark.sql import types as T
 
 from supplyscope.functions.moments import at
 from supplyscope.operators.telemetry import mirror_current_state
-from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, previous_value
+from supplyscope.plans.ordered import MAX_GROUP_ROWS, carry_forward, previous_value, rank_in_group
+from supplyscope.plans.shared import settle
 from supplyscope.plans.skew import join_groups
 
+#: most subscribers in one cell, a multiple of 8 so that lists follow each other by whole bytes
+LISTED = 256
+#: most events in one cell
+BLOCK = 32
+
 
 def open_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -44,6 +50,9 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     (any value will do, value), so that the match is an equality join on three pairs.
     An event has a row for every subscriber that it fits, so a small file of events is a lot of work:
     events are dealt over all tasks before, whatever files and row groups they lie in.
+    Subscribers that ask for the same are lists of at most `LISTED`, spelled out after the match: rows are joined and shuffled by
+    lists only. Events of a table (a stream has no ranks) that offer the same meet a list in blocks of `BLOCK`: the list follows itself, which takes
+    little room in files.
     """
     kinds = ("type", "source", "component")
     anything = F.struct(F.lit(True).alias("any"), F.lit("").alias("value"))
@@ -58,17 +67,27 @@ def route_events(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     asks = subscriptions.where("active").select(F.col("id").alias("subscriber"), "types", "sources", "components")
     for kind in kinds:
         asks = asks.withColumn(f"__{kind}", asked(f"{kind}s")).drop(f"{kind}s")
+    keys = [f"__{k}" for k in kinds]
+    ranked = rank_in_group(settle(asks), keys, ["subscriber"], "__rank")
+    part = F.floor((F.col("__rank") - 1) / LISTED).alias("__part")
+    lists = settle(ranked.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct("subscriber"))).alias("__list")).drop("__part"))
 
     def offers(kind: str) -> Column:
         own = F.coalesce(F.col(kind).cast("string"), F.lit(""))
         given = F.when(own != "", F.array(exactly(own), anything)).otherwise(F.array(anything))
         return F.explode(given)
 
-    offered = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if events.isStreaming:
+        blocks = events.repartition(tasks).withColumn("__events", F.array(F.struct(*events.columns)))
+    else:
+        numbered = rank_in_group(events, kinds, [F.xxhash64(*events.columns)], "__rank")
+        block = F.floor((F.col("__rank") - 1) / BLOCK).alias("__block")
+        blocks = numbered.groupBy(*kinds, block).agg(F.collect_list(F.struct(*events.columns)).alias("__events")).repartition(tasks)
     for kind in kinds:
-        offered = offered.withColumn(f"__{kind}", offers(kind))
-    keys = [f"__{k}" for k in kinds]
-    return offered.join(asks, keys).drop(*keys)
+        blocks = blocks.withColumn(f"__{kind}", offers(kind))
+    routed = blocks.select("__events", *keys).join(lists, keys).select(F.explode("__events").alias("__event"), "__list")
+    return routed.select("__event.*", F.explode("__list").alias("__one")).select(*events.columns, F.col("__one.subscriber").alias("subscriber"))
 
 
 def threshold_alerts(samples: DataFrame, limit: float, value: str = "alloc_bytes") -> DataFrame:

@@ -100,6 +100,23 @@ def test_routes_are_made_by_all_tasks(spark, frame):
     assert sum(made) == 1600 and len(made) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_routes_take_little_room(spark, frame, tmp_path):
+    """Lists of subscribers follow themselves in files: without that a row takes over a byte, whatever the events."""
+    events = spark.range(3000).selectExpr("id as event_id", "concat('t', id % 3) as type", "'s' as source", "'' as component")
+    subs = spark.range(900).selectExpr("id * 7919 % 30011 as id", "if(id % 2 = 0, array(), array('t1', 't2')) as types", "cast(array() as array<string>) as sources", "cast(null as array<string>) as components", "true as active")
+    jobs.route_events(events, subs).select("event_id", "subscriber").write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.distinct().count() == 1000 * 450 + 2000 * 900
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * got.count()
+
+
+def test_routes_keep_equal_rows_and_nulls(frame):
+    events = frame("event_id int, type string, source string, component string", *[(None, "x", None, None)] * 70, (2, None, "s", "c"))
+    subs = frame("id int, types array<string>, sources array<string>, components array<string>, active boolean", *[(None, ["x"], [], None, True)] * 2, (3, None, [], [], True), (4, [], [], [], False))
+    got = [(r.event_id, r.subscriber) for r in jobs.route_events(events, subs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None)] * 140 + [(None, 3)] * 70 + [(2, 3)], key=str)
+
+
 def test_alerts_can_be_off(frame):
     df = frame("alloc_bytes long", (1,), (100,))
     assert jobs.threshold_alerts(df, 50).count() == 1
